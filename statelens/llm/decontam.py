@@ -15,8 +15,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ._common import save
 
@@ -205,7 +206,7 @@ def _search(index: DataFrame, ph: Phrases, slop: int | None) -> DataFrame:
 HITS = pa.list_(pa.struct([("item_id", pa.string()), ("start", pa.int32()), ("length", pa.int32()), ("exact", pa.bool_())]))
 
 
-def find(docs: DataFrame, bench: DataFrame, n: int = 13, slop: int | None = None, most_bytes: int = 16 << 20) -> DataFrame:
+def find(docs: DataFrame, bench: DataFrame, n: int = 13, slop: int | None = None, most_bytes: int = 16 << 20, row: Column | None = None) -> DataFrame:
     """One row per row of docs: row, doc_id, n_words, hits (item_id, start, length, exact).
 
     A document's words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` after A-Z is lower-cased. Windows
@@ -214,12 +215,12 @@ def find(docs: DataFrame, bench: DataFrame, n: int = 13, slop: int | None = None
     all its words, in any order, within its length + slop words. Null or empty text has no words;
     a null doc_id stays null; repeated rows give a row each; an empty bench gives no hits, empty
     docs no rows. Test text beyond most_bytes is searched block by block, each with an index of
-    its own, and the hits are put together by row.
+    its own, and the hits are put together by row. row: a column of docs that numbers its rows.
     """
-    docs = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
+    docs = docs.select((F.monotonically_increasing_id() if row is None else row).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
     found = []
     for k, items in enumerate(blocks := list(_blocks(bench, most_bytes))):
-        if len(blocks) > 1 and not k:
+        if len(blocks) > 1 and not k and row is None:
             docs = save(docs, "rows")  # the row numbers must hold from block to block
         ph = Phrases(items, n)
         index = segments(docs, ph.vocab)
@@ -252,10 +253,10 @@ def _summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 SUMMARY_PA = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))), ("near_items", pa.list_(pa.string()))])
 
 
-def contamination(docs: DataFrame, bench: DataFrame, n: int = 13, slop: int | None = None, least_share: int = 20, most_bytes: int = 16 << 20) -> DataFrame:
+def contamination(docs: DataFrame, bench: DataFrame, n: int = 13, slop: int | None = None, least_share: int = 20, most_bytes: int = 16 << 20, row: Column | None = None) -> DataFrame:
     """find() by document row: n_hit words inside any exact match, items (sorted as strings), spans
     [start, stop) of hit words, near_items, contaminated (n_hit > 0 and least_share * n_hit >= n_words)."""
-    out = find(docs, bench, n, slop, most_bytes).mapInArrow(_summary, SUMMARY)
+    out = find(docs, bench, n, slop, most_bytes, row).mapInArrow(_summary, SUMMARY)
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (least_share * F.col("n_hit") >= F.col("n_words")))
 
 
@@ -270,6 +271,29 @@ def cut_words(text: str, spans: list[tuple[int, int]]) -> str:
     return b"".join([*out, raw[last:]]).decode()
 
 
+def decontaminate(docs: DataFrame, bench: DataFrame, n: int = 13, least_share: int = 20) -> DataFrame:
+    """docs without its contaminated rows; of the others' texts every hit span is cut out, and n_chars, if there, follows.
+
+    Rows without a hit stay as they are, null and empty texts and null ids among them.
+    """
+    docs = save(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    hit = contamination(docs, bench, n, None, least_share, row=F.col("__row")).where("n_hit > 0").select(F.col("row").alias("__row"), "contaminated", "spans")
+    x = docs.join(save(hit, "hits"), "__row", "left").where(~F.coalesce("contaminated", F.lit(False)))
+    names, at = [c for c in docs.columns if c != "__row"], docs.columns.index("text")
+    schema = StructType([f for f in docs.schema if f.name != "__row"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = [cut_words(t, [(s["start"], s["stop"]) for s in spans]) for t, spans in zip(b.column(at).to_pylist(), b.column(len(b.schema.names) - 1).to_pylist(), strict=True)]
+            cols = [pa.array(texts, pa.string()) if c == "text" else b.column(c) for c in names]
+            yield pa.RecordBatch.from_arrays(cols, names=names)
+
+    cut = x.where("spans is not null").select(*names, "spans").mapInArrow(run, schema)
+    if "n_chars" in names:
+        cut = cut.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    return x.where("spans is null").select(*names).unionByName(cut)
+
+
 ORACLE = r"""
 with w as (select rn, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws
            from (select *, row_number() over () as rn from documents)),
@@ -285,7 +309,7 @@ i as (select rn, count(*) as n_items, string_agg(item_id::varchar, ',' order by
 select doc_id, len(ws)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
   sha256(coalesce(ids, '')) as items_sha256, (coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(ws)) as contaminated
 from w left join h using (rn) left join i using (rn)
-""".replace("\\\\", "\\")
+"""
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -206,6 +206,36 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, OUT)
 
 
+def with_language(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs, all columns, whose language can be told; a null lang becomes the prediction.
+
+    Rows that `identify` calls `und` go: null or empty text, or text without a letter.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    names = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = sent.value
+        code = m.code()
+        for b in batches:
+            texts = b.column("text").to_pylist()
+            keep, lang, at = [], [], 0
+            while at < len(texts):
+                end, size = at, 0
+                while end < len(texts) and (end == at or size < 2_000_000):
+                    size += len(texts[end] or "")
+                    end += 1
+                got = m.predict(texts[at:end], code)[0] if m.langs else ["und"] * (end - at)
+                lang += got
+                at = end
+            keep = [x != "und" for x in lang]
+            had = b.column("lang").to_pylist()
+            cols = [pa.array([h if h is not None else x for h, x in zip(had, lang, strict=True)], pa.string()) if c == "lang" else b.column(c) for c in names]
+            yield pa.RecordBatch.from_arrays(cols, names=names).filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = fit(docs, fold(F.col("doc_id"), 3) != 1)

@@ -55,6 +55,27 @@ def _places(ws: Column, phrase: str) -> Column:
     return F.filter(first, lambda i: F.coalesce(ok(i), F.lit(False)))
 
 
+def _labelled_places(phrase: str, label: str):
+    return lambda ws: F.transform(_places(ws, phrase), lambda i: F.struct(F.lit(label).alias("label"), i.alias("start")))
+
+
+def _need(tokens: list[str], threshold: float) -> int:
+    return max(1, ceil(threshold * len(tokens) - 1e-9))
+
+
+def _blocks_of(label: str, size: int, need: int, prefix: Column, whole: Column):
+    """Blocks that hold a prefix word and at least `need` of the template's words."""
+
+    def share(ws: Column):
+        return lambda s: F.struct(F.lit(label).alias("label"), s.alias("block"), (F.size(F.array_intersect(whole, F.slice(ws, s + 1, F.lit(WINDOW)))) / F.lit(float(size))).alias("containment"))
+
+    def of(ws: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.greatest(F.size(ws) - 1, F.lit(0)), F.lit(STRIDE)), lambda s: F.arrays_overlap(F.slice(ws, s + 1, F.lit(WINDOW)), prefix))
+        return F.filter(F.transform(starts, share(ws)), lambda h: h["containment"] >= F.lit(need / size - 1e-12))
+
+    return of
+
+
 def _all(conds: list[Column]) -> Column:
     out = conds[0]
     for c in conds[1:]:
@@ -86,30 +107,26 @@ def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD, phr
     may = F.lit(False)
     for p in phrases:
         may = may | _all([F.array_contains("lw", w) for w in p.split()])
-    least = min((ceil(threshold * len(t) - 1e-9) for _, t in sets), default=0)
-    maybe_template = (F.size("own") >= max(1, least)) if sets else F.lit(False)
+    maybe_template = F.lit(False)
+    for _, t in sets:
+        maybe_template = maybe_template | (F.size(F.array_intersect(F.array(*[F.lit(w) for w in t]), "own")) >= _need(t, threshold))
     x = save(x.select("row", "doc_id", "n_words", "own", F.when(may | maybe_template, F.col("lw")).alias("lw")), "license")
     freq = {r[0]: r[1] for r in x.select(F.explode("own").alias("w")).groupBy("w").count().collect()}  # at most the templates' words
     rank = {w: k for k, w in enumerate(sorted(vocab, key=lambda w: (freq.get(w, 0), w)))}
 
     bound = lambda f: F.transform(F.array(F.col("lw")), f)[0]  # noqa: E731  evaluates lw once
-    some = [bound(lambda ws, p=p, label=label: F.transform(_places(ws, p), lambda i: F.struct(F.lit(label).alias("label"), i.alias("start")))) for p, label in phrases.items()]
+    some = [bound(_labelled_places(p, label)) for p, label in phrases.items()]
     places = F.concat(*some) if some else F.array().cast("array<struct<label:string,start:int>>")
     none = "array<struct<label:string,start:int>>"
     hits = []
     for label, t in sets:
         t = sorted(t, key=rank.__getitem__)
-        need = ceil(threshold * len(t) - 1e-9)
+        need = _need(t, threshold)
         prefix, whole = F.array(*[F.lit(w) for w in t[: len(t) - need + 1]]), F.array(*[F.lit(w) for w in t])
         # document level: enough of the words at all, and a prefix word early enough in the order
         can = (F.size(F.array_intersect(whole, F.col("own"))) >= need) & F.arrays_overlap(F.col("own"), prefix)
 
-        def of(ws, prefix=prefix, whole=whole, need=need, label=label, size=len(t)):
-            starts = F.filter(F.sequence(F.lit(0), F.greatest(F.size(ws) - 1, F.lit(0)), F.lit(STRIDE)), lambda s: F.arrays_overlap(F.slice(ws, s + 1, F.lit(WINDOW)), prefix))
-            share = lambda s: F.struct(F.lit(label).alias("label"), s.alias("block"), (F.size(F.array_intersect(whole, F.slice(ws, s + 1, F.lit(WINDOW)))) / F.lit(float(size))).alias("containment"))
-            return F.filter(F.transform(starts, share), lambda h: h["containment"] >= F.lit(need / size - 1e-12))
-
-        hits.append(F.when(can & F.col("lw").isNotNull(), bound(of)))
+        hits.append(F.when(can & F.col("lw").isNotNull(), bound(_blocks_of(label, len(t), need, prefix, whole))))
     kind = "array<struct<label:string,block:int,containment:double>>"
     found = F.concat(*[F.coalesce(h, F.array().cast(kind)) for h in hits]) if hits else F.array().cast(kind)
     return x.select("doc_id", "n_words", F.when(F.col("lw").isNotNull() & (F.size("lw") > 0), places).otherwise(F.array().cast(none)).alias("places"), found.alias("found"))
@@ -137,7 +154,7 @@ def oracle_sql() -> str:
         f"select rn, '{label}' as label, i from (select rn, ws, unnest(range(0, len(ws))) as i from w) where " + " and ".join(f"coalesce(ws[i + {k + 1}], '') = '{p}'" for k, p in enumerate(ph.split()))
         for ph, label in PHRASES.items()
     )
-    temp = ", ".join(f"({k}, '{label}', {_tokens(t)!r}, {ceil(THRESHOLD * len(_tokens(t)) - 1e-9)})" for k, (label, t) in enumerate(TEMPLATES))
+    temp = ", ".join(f"({k}, '{label}', {_tokens(t)!r}, {_need(_tokens(t), THRESHOLD)})" for k, (label, t) in enumerate(TEMPLATES))
     return rf"""
 with w as (select rn, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws
            from (select *, row_number() over () as rn from documents)),

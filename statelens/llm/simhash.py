@@ -144,6 +144,13 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, k: int = SHINGLE) ->
     return fps.join(by_fp, F.col("fp") == F.col("__fp")).select("doc_id", "fp", "component_id")
 
 
+def first_of_groups(docs: DataFrame, radius: int = RADIUS, k: int = SHINGLE) -> DataFrame:
+    """docs with one row for each component: its smallest doc_id's. Of rows of that doc_id one stays; rows of null doc_id stay."""
+    first = near_duplicates(docs, radius, k).where("doc_id = component_id").select("doc_id").distinct()
+    kept = docs.where("doc_id is not null").join(save(first, "first"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
