@@ -64,13 +64,16 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     e = save(e.mapInArrow(_local, "u long, v long"), "cc")
     before = None
     for _ in range(most_rounds):
+        # each side of a join is a written table, so Spark can split the partition of a node that very many link to
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        low = save(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "cc")
+        large = save(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "cc")
         # every edge now runs from the larger node to the smaller
-        small = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = save(large.groupBy("u").agg(F.min("v").alias("m")), "cc")
         star = large.join(small, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x"))
         nxt = save(star.select("x.u", "x.v").where("u <> v").distinct(), "cc")
+        for x in (low, large, small):
+            forget(x)
         forget(e)
         e = nxt
         now = e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
