@@ -176,7 +176,8 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 FOUND = "row long, doc_id long, n_words long, hits array<struct<item_id:string,start:int,length:int,exact:boolean>>"
 
 
-def _search(index: DataFrame, ph: Phrases, slop: int | None) -> DataFrame:
+def _search(index: DataFrame, ph: Phrases, slop: int | None, then=None, schema: str = FOUND) -> DataFrame:
+    """The hits of every row; `then` goes on with the batches in the same Python worker."""
     sent = index.sparkSession.sparkContext.broadcast((ph.windows, ph.items, ph.by_rarest))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,13 +201,13 @@ def _search(index: DataFrame, ph: Phrases, slop: int | None) -> DataFrame:
                 names=["row", "doc_id", "n_words", "hits"],
             )
 
-    return index.mapInArrow(run, FOUND)
+    return index.mapInArrow((lambda batches: then(run(batches))) if then else run, schema)
 
 
 HITS = pa.list_(pa.struct([("item_id", pa.string()), ("start", pa.int32()), ("length", pa.int32()), ("exact", pa.bool_())]))
 
 
-def find(docs: DataFrame, bench: DataFrame, n: int = 13, slop: int | None = None, most_bytes: int = 16 << 20, row: Column | None = None) -> DataFrame:
+def find(docs: DataFrame, bench: DataFrame, n: int = 13, slop: int | None = None, most_bytes: int = 16 << 20, row: Column | None = None, then=None, schema: str = FOUND) -> DataFrame:
     """One row per row of docs: row, doc_id, n_words, hits (item_id, start, length, exact).
 
     A document's words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` after A-Z is lower-cased. Windows
@@ -216,6 +217,7 @@ def find(docs: DataFrame, bench: DataFrame, n: int = 13, slop: int | None = None
     a null doc_id stays null; repeated rows give a row each; an empty bench gives no hits, empty
     docs no rows. Test text beyond most_bytes is searched block by block, each with an index of
     its own, and the hits are put together by row. row: a column of docs that numbers its rows.
+    then, schema: what to make of the Arrow batches of these rows, instead of returning them.
     """
     docs = docs.select((F.monotonically_increasing_id() if row is None else row).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
     found = []
@@ -226,12 +228,13 @@ def find(docs: DataFrame, bench: DataFrame, n: int = 13, slop: int | None = None
         index = segments(docs, ph.vocab)
         counts = index.select("terms", "ptr").mapInArrow(_counts, "term int, n long").groupBy("term").agg(F.sum("n"))
         ph.order(dict(map(tuple, counts.collect())))  # a row for each word of the block at most
-        found.append(_search(index, ph, slop))
+        found.append(_search(index, ph, slop, then, schema) if len(blocks) == 1 else _search(index, ph, slop))
     out = found[0]
     if len(found) > 1:
         for x in found[1:]:
             out = out.unionByName(x)
         out = out.groupBy("row", "doc_id", "n_words").agg(F.flatten(F.collect_list("hits")).alias("hits"))
+        out = out.mapInArrow(then, schema) if then else out
     return out
 
 
@@ -256,7 +259,7 @@ SUMMARY_PA = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_words",
 def contamination(docs: DataFrame, bench: DataFrame, n: int = 13, slop: int | None = None, least_share: int = 20, most_bytes: int = 16 << 20, row: Column | None = None) -> DataFrame:
     """find() by document row: n_hit words inside any exact match, items (sorted as strings), spans
     [start, stop) of hit words, near_items, contaminated (n_hit > 0 and least_share * n_hit >= n_words)."""
-    out = find(docs, bench, n, slop, most_bytes, row).mapInArrow(_summary, SUMMARY)
+    out = find(docs, bench, n, slop, most_bytes, row, _summary, SUMMARY)
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (least_share * F.col("n_hit") >= F.col("n_words")))
 
 
@@ -277,8 +280,8 @@ def decontaminate(docs: DataFrame, bench: DataFrame, n: int = 13, least_share: i
     Rows without a hit stay as they are, null and empty texts and null ids among them.
     """
     docs = save(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-    hit = contamination(docs, bench, n, None, least_share, row=F.col("__row")).where("n_hit > 0").select(F.col("row").alias("__row"), "contaminated", "spans")
-    x = docs.join(save(hit, "hits"), "__row", "left").where(~F.coalesce("contaminated", F.lit(False)))
+    hit = contamination(docs, bench, n, None, least_share, row=F.col("__row")).where("n_hit > 0").select(F.col("row").alias("__row"), F.col("contaminated").alias("__bad"), F.col("spans").alias("__spans"))
+    x = docs.join(save(hit, "hits"), "__row", "left").where(~F.coalesce("__bad", F.lit(False)))
     names, at = [c for c in docs.columns if c != "__row"], docs.columns.index("text")
     schema = StructType([f for f in docs.schema if f.name != "__row"])
 
@@ -288,10 +291,10 @@ def decontaminate(docs: DataFrame, bench: DataFrame, n: int = 13, least_share: i
             cols = [pa.array(texts, pa.string()) if c == "text" else b.column(c) for c in names]
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    cut = x.where("spans is not null").select(*names, "spans").mapInArrow(run, schema)
+    cut = x.where("__spans is not null").select(*names, "__spans").mapInArrow(run, schema)
     if "n_chars" in names:
         cut = cut.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return x.where("spans is null").select(*names).unionByName(cut)
+    return x.where("__spans is null").select(*names).unionByName(cut)
 
 
 ORACLE = r"""

@@ -26,6 +26,8 @@ ALPHABET = 60
 #: A text is parsed in blocks of so many normalised characters; a phrase ends with its block.
 BLOCK = 512
 MAX_LANGUAGES = 256
+#: Characters that are parsed side by side (one text at least): a worker's memory grows with it.
+TOGETHER = 500_000
 
 
 @lru_cache(1)
@@ -193,7 +195,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             texts, at = b.column(1).to_pylist(), 0
             while at < len(texts):
                 end, size = at, 0
-                while end < len(texts) and (end == at or size < 2_000_000):
+                while end < len(texts) and (end == at or size < TOGETHER):
                     size += len(texts[end] or "")
                     end += 1
                 if m.langs:
@@ -222,7 +224,7 @@ def with_language(docs: DataFrame, model: Model) -> DataFrame:
             keep, lang, at = [], [], 0
             while at < len(texts):
                 end, size = at, 0
-                while end < len(texts) and (end == at or size < 2_000_000):
+                while end < len(texts) and (end == at or size < TOGETHER):
                     size += len(texts[end] or "")
                     end += 1
                 got = m.predict(texts[at:end], code)[0] if m.langs else ["und"] * (end - at)

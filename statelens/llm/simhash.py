@@ -139,7 +139,8 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, k: int = SHINGLE) ->
     """
     fps = save(fingerprints(docs, k), "fps")
     classes = fps.groupBy("fp").agg(F.min("doc_id").alias("node"))
-    comp = components(near_links(classes.where("node is not null"), radius))
+    # written first: a task that searched and folded at once would hold two Python workers
+    comp = components(save(near_links(classes.where("node is not null"), radius), "near"))
     by_fp = classes.join(comp, "node", "left").select(F.col("fp").alias("__fp"), F.coalesce("component", "node").alias("component_id"))
     return fps.join(by_fp, F.col("fp") == F.col("__fp")).select("doc_id", "fp", "component_id")
 
