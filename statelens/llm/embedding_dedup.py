@@ -5,13 +5,13 @@ each round joins every node's neighbours, and the nodes that list it, with each
 neighbours of neighbours meet and lists improve. A list full of links (cosine >= threshold)
 doubles. Lists beyond K_MOST lose nothing: links found also go into a forest, the forest
 gives components, and a last pass counts every link inside each component exactly. An audit of
-sampled nodes against all rows measures the recall; while it is short, more blocks and rounds follow.
+drawn nodes against all rows bounds the recall node by node; while it is short, more blocks and rounds follow.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import acos, ceil, log2
+from math import acos, ceil, log2, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +29,10 @@ TABLES, LEAF, BLOCK = 8, 200, 1024
 K, K_MOST = 6, 48
 #: Others that a local join offers to each of its members.
 OFFER = 3
-#: Rounds of a pass, passes at most, nodes audited, recall to reach.
+#: Rounds of a pass, passes at most, nodes with links audited of each kind, recall to reach.
 ROUNDS, PASSES, AUDIT, RECALL = 2, 4, 400, 0.98
+#: Nodes of a component above which it is audited apart, and nodes compared with all rows at once.
+LARGE, DRAW = 1000, 8192
 
 
 def unit(col) -> np.ndarray:
@@ -176,30 +178,87 @@ def _round(nodes: DataFrame, lists: DataFrame, threshold: float, k: int) -> Data
     return save(x.select("mid", "node", "fresh", "e").repartition("mid").sortWithinPartitions("mid").mapInArrow(_local_join(threshold, OFFER), FOUND), "found")
 
 
-def _audit(labelled: DataFrame, threshold: float, n: int, most: int) -> tuple[int, int]:
-    """(links of sampled nodes to all rows, those whose ends are in one component)."""
-    spark = labelled.sparkSession
-    rows = labelled.where(F.pmod(F.xxhash64(F.lit("audit"), "node"), F.lit(max(1, n))) < most).select("node", "d", "e", "component").limit(2 * most).collect()
-    if not rows:
-        return 0, 0
-    sent = spark.sparkContext.broadcast([(r["node"], r["d"], r["component"], list(r["e"])) for r in rows])
+def _labelled(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """nodes with their component, their own number without a link."""
+    x = nodes.join(components(links), "node", "left")
+    return save(x.select("node", "n", "d", "e", F.coalesce("component", "node").alias("component"), F.col("component").isNotNull().alias("linked")), "labelled")
+
+
+def _lower(mean: float, n: int, z: float = 1.645) -> float:
+    """Wilson's lower bound (95%, one side) of a mean of n shares between 0 and 1; 0 without any."""
+    return (mean + z * z / (2 * n) - z * sqrt(mean * (1 - mean) / n + (z / (2 * n)) ** 2)) / (1 + z * z / n) if n else 0.0
+
+
+def _against(labelled: DataFrame, drawn: pa.Table, threshold: float) -> DataFrame:
+    """Drawn nodes against all rows, saved: by place in drawn and task the links (total) and those inside
+    one component (same); with a null place the links between components, as a forest."""
+    dims = drawn["d"].to_numpy()
+    sent = labelled.sparkSession.sparkContext.broadcast((longs(drawn["node"]), longs(drawn["component"]), dims, unit(drawn["e"]).astype(np.float64)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = sent.value
-        q = unit(pa.array([r[3] for r in own], pa.list_(pa.float64())))
-        node, d, comp = (np.array([r[k] for r in own], np.int64) for k in range(3))
-        total = same = 0
+        own, comp, d, q = sent.value
+        total, same = np.zeros((2, len(own)), np.int64)
+        u, v = np.empty(0, np.int64), np.empty(0, np.int64)
         for b in batches:
-            if b.num_rows:
-                x = unit(b.column("e"))
+            for at in range(0, b.num_rows, 2048):
+                part = b.slice(at, 2048)
+                x, node, dim, c = unit(part.column("e")), *(longs(part.column(k)) for k in ("node", "d", "component"))
                 w = min(x.shape[1], q.shape[1])
-                near = (x[:, :w] @ q[:, :w].T >= threshold) & (b.column("d").to_numpy()[:, None] == d) & (b.column("node").to_numpy()[:, None] != node)
-                total += int(near.sum())
-                same += int((near & (b.column("component").to_numpy()[:, None] == comp)).sum())
-        yield pa.RecordBatch.from_arrays([pa.array([total]), pa.array([same])], names=["total", "same"])
-
-    got = labelled.select("node", "d", "e", "component").mapInArrow(run, "total long, same long").agg(F.sum("total"), F.sum("same")).first()
-    return int(got[0] or 0), int(got[1] or 0)
+                for lo in range(0, len(own), 1024):
+                    to = slice(lo, lo + 1024)
+                    i, j = np.nonzero(x[:, :w] @ q[to, :w].T >= threshold)
+                    j += lo
+                    ok = (dim[i] == d[j]) & (node[i] != own[j])
+                    i, j = i[ok], j[ok]
+                    inside = c[i] == comp[j]
+                    np.add.at(total, j, 1)
+                    np.add.at(same, j[inside], 1)
+                    if not inside.all():
+                        u, v = forest(np.concatenate([u, node[i[~inside]]]), np.concatenate([v, own[j[~inside]]]))
+        some = np.flatnonzero(total)
+        none, zero = pa.nulls(len(u), pa.int64()), pa.nulls(len(some), pa.int64())
+        cols = [(pa.array(some), none), (zero, pa.array(u)), (zero, pa.array(v)), (pa.array(total[some]), none), (pa.array(same[some]), none)]
+        yield pa.RecordBatch.from_arrays([pa.concat_arrays([x, y]) for x, y in cols], names=["place", "node", "nbr", "total", "same"])
+
+    return save(labelled.select("node", "d", "e", "component").mapInArrow(run, "place long, node long, nbr long, total long, same long"), "audit")
+
+
+def _audit(labelled: DataFrame, threshold: float, turn: int, most: int = AUDIT, whole: bool = False) -> tuple[dict, DataFrame | None]:
+    """Recall of the components, and the links between components that the audit met.
+
+    Nodes are drawn by hash, those of components of over LARGE nodes apart from the others, and
+    compared with all rows, until `most` of each kind that have a link were drawn, or all nodes
+    were. Each counts alike, with the share of its links whose ends are in one component. A kind's
+    recall is the mean of these shares if all its nodes were drawn, else the mean's lower
+    bound; the smaller recall of the two counts. whole: all nodes are drawn.
+    """
+    large = save(labelled.groupBy("component").count().where(F.col("count") > LARGE).select("component", F.lit(True).alias("large")), "large")
+    rows = labelled.join(large, "component", "left").select("node", "d", "e", "component", F.coalesce("large", F.lit(False)).alias("large"))
+    h = F.pmod(F.xxhash64(F.lit(f"audit {turn}"), "node"), F.lit(1 << 32))
+    sizes = dict(map(tuple, rows.groupBy("large").count().collect()))
+    out, met = {"recall": 1.0, "audited_links": 0, "found_links": 0, "audited_nodes": 0, "drawn_nodes": 0}, None
+    for kind, n in sizes.items():
+        lo, step, shares = 0, DRAW // 4, []
+        while lo < 1 << 32 and (whole or len(shares) < most):
+            hi = min(1 << 32, lo + max(1, step * (1 << 32) // n))
+            drawn = rows.where((F.col("large") == kind) & (h >= lo) & (h < hi)).select("node", "d", "e", "component").toArrow()
+            lo, step = hi, min(2 * step, DRAW)
+            if not len(drawn):
+                continue
+            got = _against(labelled, drawn, threshold)
+            counts = got.where("place is not null").groupBy("place").agg(F.sum("total"), F.sum("same")).collect()
+            shares += [r[2] / r[1] for r in counts]
+            out["audited_links"] += sum(r[1] for r in counts)
+            out["found_links"] += sum(r[2] for r in counts)
+            out["drawn_nodes"] += len(drawn)
+            if any(r[2] < r[1] for r in counts):
+                links = got.where("place is null").select("node", "nbr")
+                met = links if met is None else met.unionByName(links)
+        out["audited_nodes"] += len(shares)
+        mean = sum(shares) / len(shares) if shares else 1.0
+        out["recall"] = min(out["recall"], mean if lo >= 1 << 32 else _lower(mean, len(shares)))
+    forget(large)
+    return out, met
 
 
 def _angles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,7 +322,8 @@ def near_vectors(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec
     further vectors. component_id is the smallest id reachable, kept is id = component_id. A row of
     null id neither links nor has a component. Rows of one id but different vectors are one node
     of the graph, to which the links of each count. Empty tables give no rows; other columns are ignored.
-    report, if given, receives the audited links, those found, and the rounds made.
+    report, if given, receives the last audit: recall (what _audit bounds), audited_nodes with a link among
+    drawn_nodes, their links, those found before links the audit met were added, and the rounds made.
     """
     kind = "array<float>" if df.schema[vector_col].dataType.simpleString() == "array<float>" else "array<double>"
     e = F.col(vector_col).cast(kind)
@@ -275,7 +335,7 @@ def near_vectors(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec
     total = nodes.count()
     bits = min(62, max(0, ceil(log2(max(1, total) / LEAF))))
     entries, links, labelled = None, None, None
-    rounds, audited, found = 0, 0, 0
+    rounds = 0
     for turn in range(PASSES):
         got = _start(nodes, list(range(turn * tables, (turn + 1) * tables)), bits, threshold, k)
         rows = got.where("not link").select("node", "nbr", "sim", F.lit(True).alias("fresh"))
@@ -294,13 +354,14 @@ def near_vectors(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec
             if not lists.where(F.exists("nbrs", lambda x: x["fresh"] & (x["sim"] >= threshold))).limit(1).count():
                 break
         entries = lists.select("node", F.explode("nbrs").alias("x")).select("node", "x.nbr", "x.sim", F.lit(False).alias("fresh"))
-        comp = components(links)
-        labelled = save(nodes.join(comp, "node", "left").select("node", "n", "d", "e", F.coalesce("component", "node").alias("component"), F.col("component").isNotNull().alias("linked")), "labelled")
-        audited, found = _audit(labelled, threshold, total, AUDIT)
-        if found >= recall * audited:
+        labelled = _labelled(nodes, links)
+        audit, met = _audit(labelled, threshold, turn)
+        if audit["recall"] >= recall:
             break
+    if met is not None:
+        labelled = _labelled(nodes, links.unionByName(met))
     if report is not None:
-        report.update(audited_links=audited, found_links=found, rounds=rounds, nodes=total)
+        report.update(audit, rounds=rounds, nodes=total)
     mass = save(_count_links(labelled.where("linked"), threshold), "mass")
     by_node = labelled.groupBy("node").agg(F.min("component").alias("component")).join(mass, "node", "left")
     by_class = save(classes.join(by_node, "node").select("h1", "h2", "component", (F.coalesce("mass", "n") - 1).alias("n_links")), "by_class")

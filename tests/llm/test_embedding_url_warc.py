@@ -55,6 +55,22 @@ def test_links_are_counted_in_blocks(spark):
     assert got == {i: n for i, (n, _) in brute(rows).items()}
 
 
+def test_audit_sees_lost_small_groups_beside_a_large_one(spark):
+    """A third of the rows is one found group; of 100 pairs none was found, which hardly shows in a sum of links."""
+    rnd = np.random.default_rng(5)
+    hot, rows = rnd.standard_normal(16), []
+    rows += [(k, 1, 16, (hot + 0.01 * rnd.standard_normal(16)).tolist(), 0) for k in range(150)]
+    for k in range(100):
+        v = rnd.standard_normal(16)
+        rows += [(1000 + 2 * k + j, 1, 16, (v + 0.01 * rnd.standard_normal(16)).tolist(), 1000 + 2 * k + j) for j in (0, 1)]
+    df = spark.createDataFrame(rows, "node long, n long, d long, e array<double>, component long")
+    for most in (20, 10**6):
+        got, met = embedding_dedup._audit(df, 0.95, 0, most)
+        assert got["found_links"] > 0.98 * got["audited_links"] and got["recall"] < 0.98
+    links = {frozenset((r["node"], r["nbr"])) for r in met.collect()}
+    assert links == {frozenset((1000 + 2 * k, 1001 + 2 * k)) for k in range(100)}
+
+
 def test_no_vectors(spark):
     assert embedding_dedup.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).collect() == []
 
