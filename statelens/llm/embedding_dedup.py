@@ -23,8 +23,10 @@ from ._common import forget, longs, save, sorted_groups, table
 from .components import components, forest
 
 THRESHOLD = 0.95
-#: Hyperplane tables at the start, nodes in a block that is aimed at, and nodes in a block at most.
+#: Hyperplane tables of a pass, nodes in a block that is aimed at, and nodes in a block when links are counted.
 TABLES, LEAF, BLOCK = 8, 200, 1024
+#: Nodes above which a hyperplane block is compared in pairs of parts: larger parts mean fewer copies of each row.
+PART = 4096
 #: Entries of a neighbour list: at first, and where doubling ends.
 K, K_MOST = 6, 48
 #: Others that a local join offers to each of its members.
@@ -95,21 +97,27 @@ def _rows(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], links: list[tu
 
 def _blocks(threshold: float, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, starts in sorted_groups(batches, ["t", "key", "d", "sub"]):
-            node, col = longs(t["node"]), t["e"].combine_chunks()
+        for t, starts in sorted_groups(batches, ["t", "key", "d", "bi", "bj"]):
+            node, side, col = longs(t["node"]), longs(t["side"]), t["e"].combine_chunks()
             parts, links = [], []
             for a, b in zip(starts.tolist(), [*starts.tolist()[1:], len(node)], strict=True):
                 if b - a < 2:
                     continue
-                x, own = unit(col.slice(a, b - a)), node[a:b]
-                s = x @ x.T
-                np.fill_diagonal(s, -2)
-                i, j = np.nonzero(np.triu(s >= threshold))
-                links.append((own[i], own[j]))
-                top = _top(s, k)
-                sim = np.take_along_axis(s, top, 1)
-                ok = sim > -2
-                parts.append((np.broadcast_to(own[:, None], top.shape)[ok], own[top][ok], sim[ok]))
+                x, own, right = unit(col.slice(a, b - a)), node[a:b], side[a:b] > 0
+                # one part with itself, or the left part's nodes with the right part's and back
+                for rows, others in [(~right, right), (right, ~right)] if right.any() else [(~right, ~right)]:
+                    at, to = np.flatnonzero(rows), np.flatnonzero(others)
+                    if not len(to):
+                        continue
+                    for some in np.array_split(at, -(-len(at) // 512)) if len(at) else []:
+                        s = x[some] @ x[to].T
+                        s[some[:, None] == to] = -2
+                        i, j = np.nonzero(s >= threshold)
+                        links.append(forest(own[some[i]], own[to[j]]))
+                        top = _top(s, k)
+                        sim = np.take_along_axis(s, top, 1)
+                        ok = sim > -2
+                        parts.append((np.broadcast_to(own[some][:, None], top.shape)[ok], own[to][top][ok], sim[ok]))
             yield _rows(parts, links)
 
     return run
@@ -153,14 +161,18 @@ def _merge(entries: DataFrame, threshold: float, k: int, k_most: int) -> DataFra
 
 
 def _start(nodes: DataFrame, tables: list[int], bits: int, threshold: float, k: int) -> DataFrame:
-    """What the hyperplane tables' blocks show: list entries and links. A block of over BLOCK nodes is split at random."""
+    """What the hyperplane tables' blocks show: list entries and links. A block of over PART nodes is dealt
+    into parts of about as many, and every pair of parts is compared, so all of a block's pairs are."""
     keyed = save(nodes.mapInArrow(_keys(bits, tables), nodes.schema.simpleString().removeprefix("struct<").removesuffix(">") + ",keys:array<bigint>"), "keys")
     rows = keyed.select("node", "e", "d", F.posexplode("keys").alias("t", "key")).withColumn("t", F.col("t").cast("long"))
-    large = save(rows.groupBy("t", "key", "d").count().where(F.col("count") > BLOCK).select("t", "key", "d", F.ceil(F.col("count") / BLOCK).cast("long").alias("nb")), "large")
+    large = save(rows.groupBy("t", "key", "d").count().where(F.col("count") > PART).select("t", "key", "d", F.ceil(F.col("count") / PART).cast("long").alias("nb")), "large")
     rows = rows.join(F.broadcast(large) if large.count() <= 100_000 else large, ["t", "key", "d"], "left")
-    rows = rows.withColumn("sub", F.pmod(F.xxhash64("node", "t"), F.coalesce("nb", F.lit(1).cast("long"))))
-    by = ["t", "key", "d", "sub"]
-    out = save(rows.select(*by, "node", "e").repartition(*by).sortWithinPartitions(*by).mapInArrow(_blocks(threshold, k), FOUND), "found")
+    one = F.lit(1).cast("long")
+    rows = rows.withColumn("nb", F.coalesce("nb", one)).withColumn("sub", F.pmod(F.xxhash64("node", "t"), F.col("nb")))
+    rows = rows.withColumn("with", F.explode(F.sequence(one - 1, F.col("nb") - 1)))
+    rows = rows.withColumn("bi", F.least("sub", "with")).withColumn("bj", F.greatest("sub", "with")).withColumn("side", (F.col("sub") > F.col("with")).cast("long"))
+    by = ["t", "key", "d", "bi", "bj"]
+    out = save(rows.select(*by, "side", "node", "e").repartition(*by).sortWithinPartitions(*by).mapInArrow(_blocks(threshold, k), FOUND), "found")
     forget(keyed)
     forget(large)
     return out
@@ -169,10 +181,12 @@ def _start(nodes: DataFrame, tables: list[int], bits: int, threshold: float, k:
 def _round(nodes: DataFrame, lists: DataFrame, threshold: float, k: int) -> DataFrame:
     """The joins of neighbours of neighbours: what they show, as list entries and links."""
     forward = lists.select(F.col("node").alias("mid"), F.explode("nbrs").alias("x")).select("mid", F.col("x.nbr").alias("node"), F.col("x.fresh").alias("fresh"))
-    # a node that very many list is a middle for k of them; the limit works before the exchange too
+    # a node that very many list is a middle for as many of them as its own list holds, k at least; the limit of K_MOST works before the exchange too
     back = forward.select(F.col("node").alias("mid"), F.col("mid").alias("node"), "fresh")
     rank = F.row_number().over(Window.partitionBy("mid").orderBy(F.xxhash64("node", "mid")))
-    back = back.withColumn("rank", rank).where(F.col("rank") <= k).drop("rank")
+    back = back.withColumn("rank", rank).where(F.col("rank") <= max(k, K_MOST))
+    back = back.join(lists.select(F.col("node").alias("mid"), F.size("nbrs").alias("size")), "mid", "left")
+    back = back.where(F.col("rank") <= F.greatest(F.lit(k), F.coalesce("size", F.lit(k)))).select("mid", "node", "fresh")
     both = forward.unionByName(back).groupBy("mid", "node").agg(F.max("fresh").alias("fresh"))
     x = both.join(nodes.select("node", "e"), "node")
     return save(x.select("mid", "node", "fresh", "e").repartition("mid").sortWithinPartitions("mid").mapInArrow(_local_join(threshold, OFFER), FOUND), "found")

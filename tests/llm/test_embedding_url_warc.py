@@ -71,6 +71,33 @@ def test_audit_sees_lost_small_groups_beside_a_large_one(spark):
     assert links == {frozenset((1000 + 2 * k, 1001 + 2 * k)) for k in range(100)}
 
 
+def test_all_pairs_of_a_large_block_are_compared(spark, monkeypatch):
+    """One block of 300 in parts of 20: every true pair must be linked by its own table."""
+    monkeypatch.setattr(embedding_dedup, "PART", 20)
+    rnd = np.random.default_rng(8)
+    rows = []
+    for k in range(150):
+        v = rnd.standard_normal(16)
+        rows += [(2 * k + j, 1, 16, (v + 0.01 * rnd.standard_normal(16)).tolist()) for j in (0, 1)]
+    df = spark.createDataFrame(rows, "node long, n long, d long, e array<double>")
+    got = embedding_dedup._start(df, [0], 0, 0.95, 3).collect()
+    assert {frozenset((r["node"], r["nbr"])) for r in got if r["link"]} == {frozenset((2 * k, 2 * k + 1)) for k in range(150)}
+    x = np.array([r[3] for r in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    best = np.argsort(-(x @ x.T) + 9 * np.eye(300), axis=1)[:, :3]
+    assert {(i, int(j)) for i in range(300) for j in best[i]} <= {(r["node"], r["nbr"]) for r in got if not r["link"]}
+
+
+def test_reverse_neighbours_follow_the_doubled_list(spark):
+    """Node 0 lists 20 nodes and 20 others list node 0: it is the middle of all 40."""
+    rnd = np.random.default_rng(9)
+    v = rnd.standard_normal(16)
+    nodes = spark.createDataFrame([(k, 1, 16, (v + rnd.standard_normal(16)).tolist()) for k in range(41)], "node long, n long, d long, e array<double>")
+    lists = [(0, [(1.0, k, True) for k in range(1, 21)])] + [(k, [(1.0, 0, True)]) for k in range(21, 41)]
+    got = embedding_dedup._round(nodes, spark.createDataFrame(lists, "node long, nbrs array<struct<sim:double,nbr:long,fresh:boolean>>"), 0.95, 6)
+    assert {r["node"] for r in got.where("not link").collect()} >= set(range(1, 41))
+
+
 def test_no_vectors(spark):
     assert embedding_dedup.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).collect() == []
 
