@@ -5,11 +5,13 @@ each round joins every node's neighbours, and the nodes that list it, with each
 neighbours of neighbours meet and lists improve. A list full of links (cosine >= threshold)
 doubles. Lists beyond K_MOST lose nothing: links found also go into a forest, the forest
 gives components, and a last pass counts every link inside each component exactly. An audit of
-drawn nodes against all rows bounds the recall node by node; while it is short, more blocks and rounds follow.
+drawn nodes against all rows bounds the recall node by node; while it is short, more blocks and rounds follow,
+and once they join no more components all nodes are compared exactly.
 """
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 from math import acos, ceil, log2, sqrt
 
@@ -31,8 +33,8 @@ PART = 4096
 K, K_MOST = 6, 48
 #: Others that a local join offers to each of its members.
 OFFER = 3
-#: Rounds of a pass, passes at most, nodes with links audited of each kind, recall to reach.
-ROUNDS, PASSES, AUDIT, RECALL = 2, 4, 400, 0.98
+#: Rounds of a pass, nodes with links audited of each kind, recall to reach.
+ROUNDS, AUDIT, RECALL = 2, 400, 0.98
 #: Nodes of a component above which it is audited apart, and nodes compared with all rows at once.
 LARGE, DRAW = 1000, 8192
 
@@ -109,10 +111,10 @@ def _blocks(threshold: float, k: int):
                     at, to = np.flatnonzero(rows), np.flatnonzero(others)
                     if not len(to):
                         continue
-                    for some in np.array_split(at, -(-len(at) // 512)) if len(at) else []:
+                    for some in np.array_split(at, -(-len(at) // 128)) if len(at) else []:
                         s = x[some] @ x[to].T
                         s[some[:, None] == to] = -2
-                        i, j = np.nonzero(s >= threshold)
+                        i, j = np.nonzero((s >= threshold) & (own[some][:, None] < own[to]))
                         links.append(forest(own[some[i]], own[to[j]]))
                         top = _top(s, k)
                         sim = np.take_along_axis(s, top, 1)
@@ -214,21 +216,22 @@ def _against(labelled: DataFrame, drawn: pa.Table, threshold: float) -> DataFram
         total, same = np.zeros((2, len(own)), np.int64)
         u, v = np.empty(0, np.int64), np.empty(0, np.int64)
         for b in batches:
-            for at in range(0, b.num_rows, 2048):
-                part = b.slice(at, 2048)
+            for at in range(0, b.num_rows, 1024):
+                part = b.slice(at, 1024)
                 x, node, dim, c = unit(part.column("e")), *(longs(part.column(k)) for k in ("node", "d", "component"))
                 w = min(x.shape[1], q.shape[1])
                 for lo in range(0, len(own), 1024):
                     to = slice(lo, lo + 1024)
-                    i, j = np.nonzero(x[:, :w] @ q[to, :w].T >= threshold)
-                    j += lo
-                    ok = (dim[i] == d[j]) & (node[i] != own[j])
-                    i, j = i[ok], j[ok]
-                    inside = c[i] == comp[j]
-                    np.add.at(total, j, 1)
-                    np.add.at(same, j[inside], 1)
-                    if not inside.all():
-                        u, v = forest(np.concatenate([u, node[i[~inside]]]), np.concatenate([v, own[j[~inside]]]))
+                    near = x[:, :w] @ q[to, :w].T >= threshold
+                    near &= (dim[:, None] == d[to]) & (node[:, None] != own[to])
+                    total[to] += near.sum(axis=0)
+                    near &= c[:, None] != comp[to]
+                    away = near.sum(axis=0)
+                    same[to] -= away
+                    if away.any():
+                        i, j = np.nonzero(near)
+                        u, v = forest(np.concatenate([u, node[i]]), np.concatenate([v, own[to][j]]))
+        same += total
         some = np.flatnonzero(total)
         none, zero = pa.nulls(len(u), pa.int64()), pa.nulls(len(some), pa.int64())
         cols = [(pa.array(some), none), (zero, pa.array(u)), (zero, pa.array(v)), (pa.array(total[some]), none), (pa.array(same[some]), none)]
@@ -237,7 +240,7 @@ def _against(labelled: DataFrame, drawn: pa.Table, threshold: float) -> DataFram
     return save(labelled.select("node", "d", "e", "component").mapInArrow(run, "place long, node long, nbr long, total long, same long"), "audit")
 
 
-def _audit(labelled: DataFrame, threshold: float, turn: int, most: int = AUDIT, whole: bool = False) -> tuple[dict, DataFrame | None]:
+def _audit(labelled: DataFrame, threshold: float, turn: int, most: int, whole: bool = False) -> tuple[dict, DataFrame | None]:
     """Recall of the components, and the links between components that the audit met.
 
     Nodes are drawn by hash, those of components of over LARGE nodes apart from the others, and
@@ -337,7 +340,9 @@ def near_vectors(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec
     null id neither links nor has a component. Rows of one id but different vectors are one node
     of the graph, to which the links of each count. Empty tables give no rows; other columns are ignored.
     report, if given, receives the last audit: recall (what _audit bounds), audited_nodes with a link among
-    drawn_nodes, their links, those found before links the audit met were added, and the rounds made.
+    drawn_nodes, their links, those found before links the audit met were added, the passes and rounds made, and exact: whether
+    all nodes were compared at last because a pass joined no more components below the recall to reach. Where
+    hardly any node has a link, audit and exact comparison cost the square of the nodes.
     """
     kind = "array<float>" if df.schema[vector_col].dataType.simpleString() == "array<float>" else "array<double>"
     e = F.col(vector_col).cast(kind)
@@ -349,33 +354,36 @@ def near_vectors(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec
     total = nodes.count()
     bits = min(62, max(0, ceil(log2(max(1, total) / LEAF))))
     entries, links, labelled = None, None, None
-    rounds = 0
-    for turn in range(PASSES):
+    rounds, turn, parts = 0, 0, nodes.select("node").distinct().count()
+    while True:
         got = _start(nodes, list(range(turn * tables, (turn + 1) * tables)), bits, threshold, k)
         rows = got.where("not link").select("node", "nbr", "sim", F.lit(True).alias("fresh"))
         entries = rows if entries is None else entries.unionByName(rows)
         links = got.where("link").select("node", "nbr") if links is None else links.unionByName(got.where("link").select("node", "nbr"))
         lists = save(_merge(entries, threshold, k, K_MOST), "lists")
-        for r in range(ROUNDS):
+        for _ in range(ROUNDS):
             got = _round(nodes, lists, threshold, k)
             rounds += 1
             links = links.unionByName(got.where("link").select("node", "nbr"))
             old = lists.select("node", F.explode("nbrs").alias("x")).select("node", "x.nbr", "x.sim", F.lit(False).alias("fresh"))
             entries = old.unionByName(got.where("not link").select("node", "nbr", "sim", F.lit(True).alias("fresh")))
-            if r + 1 == ROUNDS and turn + 1 == PASSES:
-                break
             lists = save(_merge(entries, threshold, k, K_MOST), "lists")
-            if not lists.where(F.exists("nbrs", lambda x: x["fresh"] & (x["sim"] >= threshold))).limit(1).count():
-                break
         entries = lists.select("node", F.explode("nbrs").alias("x")).select("node", "x.nbr", "x.sim", F.lit(False).alias("fresh"))
         labelled = _labelled(nodes, links)
-        audit, met = _audit(labelled, threshold, turn)
-        if audit["recall"] >= recall:
+        audit, met = _audit(labelled, threshold, turn, AUDIT)
+        turn += 1
+        left, parts = parts, labelled.select("component").distinct().count()
+        exact = audit["recall"] < recall and parts == left
+        if exact:
+            _, met = _audit(labelled, threshold, turn, AUDIT, whole=True)
+        if exact or audit["recall"] >= recall:
             break
     if met is not None:
         labelled = _labelled(nodes, links.unionByName(met))
+    audit.update(exact=exact, passes=turn, rounds=rounds, nodes=total)
+    logging.getLogger(__name__).info("near_vectors: %s", audit)
     if report is not None:
-        report.update(audit, rounds=rounds, nodes=total)
+        report.update(audit)
     mass = save(_count_links(labelled.where("linked"), threshold), "mass")
     by_node = labelled.groupBy("node").agg(F.min("component").alias("component")).join(mass, "node", "left")
     by_class = save(classes.join(by_node, "node").select("h1", "h2", "component", (F.coalesce("mass", "n") - 1).alias("n_links")), "by_class")

@@ -98,6 +98,21 @@ def test_reverse_neighbours_follow_the_doubled_list(spark):
     assert {r["node"] for r in got.where("not link").collect()} >= set(range(1, 41))
 
 
+def test_passes_that_fall_short_end_in_an_exact_comparison(spark, monkeypatch):
+    """Blocks that show nothing: the audit of a few nodes falls short, and still no link is lost."""
+    monkeypatch.setattr(embedding_dedup, "AUDIT", 5)
+    monkeypatch.setattr(embedding_dedup, "DRAW", 32)
+    monkeypatch.setattr(embedding_dedup, "_start", lambda nodes, *a: spark.createDataFrame([], embedding_dedup.FOUND))
+    rnd, rows = np.random.default_rng(11), []
+    for k in range(40):
+        v = rnd.standard_normal(16)
+        rows += [(3 * k + j, (v + 0.01 * rnd.standard_normal(16)).tolist()) for j in range(3)]
+    report = {}
+    got = embedding_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), report=report).collect()
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got} == brute(rows)
+    assert report["exact"] and report["recall"] == 0 and report["drawn_nodes"] < len(rows)
+
+
 def test_no_vectors(spark):
     assert embedding_dedup.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).collect() == []
 
