@@ -23,6 +23,8 @@ from ._common import save
 
 #: On UTF-8 bytes after lower-casing A-Z: every byte of a character above U+007F is part of a word.
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+#: Words more than a window's own among which the proximity query looks for all of them: a few inserted ones.
+SLOP = 4
 SEGMENT = "rows array<long>, docs array<long>, known array<boolean>, first array<int>, n_words array<int>, terms array<int>, ptr array<int>, places array<int>"
 
 
@@ -320,3 +322,13 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     out = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
+
+
+def near_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The proximity half: items with all words of a window, in any order, within its length + SLOP words of a document that
+    holds none of the item's windows word for word. A query of its own, as op2_decontamination's columns are those of its SQL."""
+    from ._common import table
+
+    out = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), slop=SLOP)
+    near = F.array_join("near_items", ",")
+    return out.select("doc_id", "n_words", F.size("near_items").cast("long").alias("n_near"), F.sha2(near.cast("binary"), 256).alias("near_sha256"))

@@ -13,6 +13,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_embedding_near_dedup": embedding_dedup.query,
         "op2_decontamination": decontam.query,
+        "op2_decontamination_near": decontam.near_query,
         "op3_quality": quality.query,
         "op4_warc_revisits": warc.query,
         "op5_language_id": language_id.query,

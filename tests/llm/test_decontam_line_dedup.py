@@ -3,9 +3,10 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from collections import Counter
 
 import pytest
-from statelens.llm import decontam, line_dedup
+from statelens.llm import decontam, line_dedup, queries
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -57,6 +58,37 @@ def test_proximity_finds_words_out_of_order(spark):
     assert got[2]["near_items"] == [] and got[3]["items"] == ["q"]
 
 
+def test_proximity_query_equals_brute_force(spark, tmp_path):
+    rnd = random.Random(5)
+    v = [f"w{i}" for i in range(400)]
+    bench = [(k, " ".join(rnd.choices(v, k=rnd.choice([6, 13, 16])))) for k in range(12)]
+    docs = [(100, None), (101, ""), (None, bench[0][1])]
+    for k in range(80):
+        w = rnd.choice(bench)[1].split()
+        for _ in range(rnd.randrange(7)):
+            w.insert(rnd.randrange(len(w)), rnd.choice(v))
+        if k % 4 == 0:
+            rnd.shuffle(w)
+        docs.append((k, " ".join([*rnd.choices(v, k=5), *w, *rnd.choices(v, k=rnd.randrange(9))])))
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(bench, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    exact = {r[0]: set(r[3]) for r in brute(docs, bench, 13)}
+    want = []
+    for d, text in docs:
+        w, near = WORD.findall(low(text)), set()
+        for item, t in bench:
+            q = t.split()
+            for win in (Counter(q[s : s + 13]) for s in range(max(1, len(q) - 12))):
+                span = sum(win.values()) + decontam.SLOP
+                if any(not win - Counter(w[s : s + span]) for s in range(len(w))):
+                    near.add(str(item))
+        near = sorted(near - exact[d])
+        want.append((d, len(w), len(near), hashlib.sha256(",".join(near).encode()).hexdigest()))
+    got = queries.queries()["op2_decontamination_near"](spark, str(tmp_path)).select("doc_id", "n_words", "n_near", "near_sha256")
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
+    assert sum(x[2] for x in want) > 20
+
+
 def test_decontaminate_cuts_and_drops(spark):
     long = " ".join(f"w{i}" for i in range(200))
     docs = [(1, f"{long} The quick, brown fox. {long}", "a", "x"), (2, "the quick brown fox", "b", "x"), (3, long, "c", "x"), (None, None, "d", "x"), (4, "", "e", "x")]
