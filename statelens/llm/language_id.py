@@ -3,7 +3,8 @@
 A suffix automaton of each language's sample recognises exactly the sample's substrings.
 Parsing greedily, each phrase is the longest match from where the last one ended; phrases
 times log2(sample length) over the document's length is its cross entropy under the language.
-The automata are dense tables, so that a batch's texts are parsed side by side in numpy.
+The automata are tables, so that a batch's texts are parsed side by side in numpy. A text is
+parsed in blocks, and a phrase ends with its block, where it may be shorter than the longest match.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ from ._common import fold, table
 
 #: Characters of sample text for each language, and of one excerpt.
 TRAIN_CHARS, EXCERPT = 24_000, 500
-#: Letters that the automata tell apart; rarer ones count as one unseen letter.
-ALPHABET = 60
+#: Entries of all automata's dense tables together; beyond that they are sparse, which is slower.
+DENSE = 1 << 25
 #: A text is parsed in blocks of so many normalised characters; a phrase ends with its block.
 BLOCK = 512
 MAX_LANGUAGES = 256
@@ -56,9 +57,10 @@ class Automaton:
 
     go[state * letters + c] is 4 * (next state * letters) + phrases ended by c: 0 where the
     match goes on, 1 where a new phrase starts with c, 2 where c itself is in no sample.
+    A sparse table holds only the entries of matches that go on; the others are root's.
     """
 
-    def __init__(self, sample: np.ndarray, letters: int):
+    def __init__(self, sample: np.ndarray, letters: int, dense: bool = True):
         nxt, link, size = [{}], [-1], [0]
         last = 0
         for c in sample.tolist():
@@ -84,16 +86,30 @@ class Automaton:
                         p = link[p]
                     link[q] = link[cur] = twin
             last = cur
-        root = np.full(letters, 2, np.int32)
+        root = np.full(letters, 2, np.int32 if dense else np.int64)
         for c, t in nxt[0].items():
             root[c] = 4 * t * letters + 1
-        go = np.tile(root, len(nxt))
+        self.bits = float(np.log2(max(2, len(sample))))
         state = np.repeat(np.arange(len(nxt)), [len(x) for x in nxt])
         c = np.fromiter((c for x in nxt for c in x), np.int64, len(state))
         t = np.fromiter((t for x in nxt for t in x.values()), np.int64, len(state))
-        go[state * letters + c] = 4 * t * letters
-        go[:letters] -= (go[:letters] == 2).astype(np.int32)  # at the root no phrase is open
-        self.go, self.bits = go, float(np.log2(max(2, len(sample))))
+        self.root, self.letters, self.go = root, letters, None
+        if dense:
+            self.go = np.tile(root, len(nxt))
+            self.go[state * letters + c] = 4 * t * letters
+            self.go[:letters] -= (self.go[:letters] == 2).astype(np.int32)  # at the root no phrase is open
+            return
+        inner = state > 0
+        keys, to = np.concatenate([np.arange(letters), state[inner] * letters + c[inner]]), np.concatenate([root - 1, 4 * t[inner] * letters])
+        order = np.argsort(keys)  # at the root no phrase is open, so its entries count one less
+        self.keys, self.to = keys[order], to[order]
+
+    def step(self, at: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """The table's entries at states (times letters) and codes."""
+        if self.go is not None:
+            return self.go.take(at + c)
+        k = np.minimum(np.searchsorted(self.keys, at + c), len(self.keys) - 1)
+        return np.where(self.keys[k] == at + c, self.to[k], self.root[c])
 
 
 class Model:
@@ -102,15 +118,18 @@ class Model:
         seen: Counter = Counter()
         for texts in samples.values():
             seen.update(Counter(c for t in texts for c in t.lower() if c.isalpha()))
-        self.alphabet = [c for c, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:ALPHABET]]
+        self.alphabet = [c for c, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))]
         self.langs = sorted(samples)
         code, letters = self.code(), len(self.alphabet) + 2
-        self.automata = [Automaton(normalise(["\n".join(samples[lang])], code)[0], letters) for lang in self.langs]
+        parts = [normalise(["\n".join(samples[lang])], code)[0] for lang in self.langs]
+        dense = 2 * sum(map(len, parts)) * letters <= DENSE  # an automaton has two states for each code at most
+        self.automata = [Automaton(x, letters, dense) for x in parts]
 
     def code(self) -> np.ndarray:
-        """Of a code point: 0 no letter, 1 an unseen letter, else its place in the alphabet + 2."""
-        out = _is_letter().astype(np.uint8)
-        out[[ord(c) for c in self.alphabet]] = np.arange(len(self.alphabet), dtype=np.uint8) + 2
+        """Of a code point: 0 no letter, 1 a letter of no sample, else its place in the alphabet + 2."""
+        kind = np.uint8 if len(self.alphabet) < 254 else np.int32
+        out = _is_letter().astype(kind)
+        out[[ord(c) for c in self.alphabet]] = np.arange(len(self.alphabet), dtype=kind) + 2
         return out
 
     def phrases(self, texts: list[str | None], code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -130,10 +149,10 @@ class Model:
         padded = np.append(flat, np.zeros(BLOCK, flat.dtype))
         columns = [padded[start[:a] + j].astype(np.int32) for j, a in enumerate(active)]
         for at, x in enumerate(self.automata):
-            state, count = np.zeros(len(size), np.int32), np.zeros(len(size), np.int32)
+            state, count = np.zeros(len(size), x.root.dtype), np.zeros(len(size), np.int32)
             for a, c in zip(active, columns, strict=True):
-                v = x.go.take(state[:a] + c)
-                count[:a] += v & 3
+                v = x.step(state[:a], c)
+                count[:a] += (v & 3).astype(np.int32)
                 state[:a] = v >> 2
             out[:, at] = np.bincount(text, count + (state > 0), minlength=len(n)).astype(np.int64)
         return out, n, letters

@@ -35,6 +35,24 @@ def test_cross_parsing_equals_longest_matches(text):
     assert counts[0].tolist() == [greedy(flat(text), flat("\n".join(SAMPLES[k]))) for k in m.langs]
 
 
+@given(st.text(alphabet="theuickbrown fxßüdrscaжλ", min_size=1, max_size=200))
+@settings(max_examples=30, deadline=None)
+def test_sparse_tables_equal_dense_ones(text):
+    x, y = language_id.Model(SAMPLES), language_id.Model(SAMPLES)
+    code = x.code()
+    y.automata = [language_id.Automaton(language_id.normalise(["\n".join(SAMPLES[k])], code)[0], len(x.alphabet) + 2, dense=False) for k in y.langs]
+    assert x.phrases([text], code)[0].tolist() == y.phrases([text], code)[0].tolist()
+
+
+def test_languages_of_many_letters_are_told_apart():
+    rnd = np.random.default_rng(2)
+    latin = " ".join("".join(chr(97 + c) for c in rnd.integers(0, 26, 5)) for _ in range(3000))
+    far = {name: "".join(chr(start + c) for c in rnd.integers(0, 300, 2000)) for name, start in (("xa", 0x4E00), ("xb", 0x5E00))}
+    m = language_id.Model({"en": [latin], **{k: [v] for k, v in far.items()}})
+    assert m.predict([far["xa"][500:560], far["xb"][500:560], latin[600:660]], m.code())[0] == ["xa", "xb", "en"]
+    assert len(m.alphabet) > 600
+
+
 def test_language_edges(spark):
     rows = [(1, "the brown fox runs over the dog", "x"), (2, "der hund läuft über den wald", None), (3, None, "x"), (4, "12 ... 9!", None), (5, "", None), (None, "the dog", None), (1, "the brown fox runs over the dog", "x"), (6, "the dog " * 20000, None)]
     m = language_id.Model(SAMPLES)
