@@ -91,8 +91,8 @@ def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD, phr
     32) and every template of which the block holds at least `threshold` of the distinct words,
     the block's first word and the share it holds. The join is exact: words are ordered by how
     many documents hold them; a block that qualifies must share one of a template's rarest
-    |T| - a + 1 words (a = ceil(threshold |T|)), have a template words at least (length), and from
-    the first shared prefix word on there must be enough of the template left (position). Rows
+    |T| - a + 1 words (a = ceil(threshold |T|)), and its document a of the template's words. There is
+    no position filter: from any prefix word on, a words of the template are left. Rows
     repeat as in docs; null ids stay null; no templates or empty docs are fine.
     """
     spark = docs.sparkSession
@@ -123,7 +123,7 @@ def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD, phr
         t = sorted(t, key=rank.__getitem__)
         need = _need(t, threshold)
         prefix, whole = F.array(*[F.lit(w) for w in t[: len(t) - need + 1]]), F.array(*[F.lit(w) for w in t])
-        # document level: enough of the words at all, and a prefix word early enough in the order
+        # document level: enough of the words at all, and a prefix word among them
         can = (F.size(F.array_intersect(whole, F.col("own"))) >= need) & F.arrays_overlap(F.col("own"), prefix)
 
         hits.append(F.when(can & F.col("lw").isNotNull(), bound(_blocks_of(label, len(t), need, prefix, whole))))
