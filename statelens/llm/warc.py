@@ -182,6 +182,7 @@ def crawl_log(pages: DataFrame) -> DataFrame:
     The page of id p is answered at second 2p as record 2p, and revisited as record 2p + 1 at second
     2p + 7 with a 304. Of every seven pages one revisit holds another ETag, one only a
     Last-Modified, one a weak ETag, and one none. The digest is the MD5 of the page.
+    Pages of null page_id have no record id or date and are left out, as in the SQL.
     """
     md5, at = F.md5(F.coalesce("html", F.lit("")).cast("binary")), F.col("page_id") * 2
     name = lambda n: F.concat(F.lit(n), F.col("page_id").cast("string"))
