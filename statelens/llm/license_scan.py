@@ -7,7 +7,7 @@ from math import ceil
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import save, table
+from ._common import LOWER, UPPER, ascii_lower, save, table
 
 #: Word separators in original case; A-Z belongs to words and is lower-cased after the split.
 GAPS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -34,7 +34,7 @@ WINDOW, STRIDE = 64, 32
 
 
 def _tokens(text: str) -> list[str]:
-    return list(dict.fromkeys(text.lower().replace(".", " ").split()))
+    return list(dict.fromkeys(text.translate(str.maketrans(UPPER, LOWER)).replace(".", " ").split()))
 
 
 def words_of(text: Column) -> Column:
@@ -42,11 +42,6 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), GAPS, -1), lambda w: w != "")
 
 
-def _lowered(ws: Column) -> Column:
-    # template and phrase words are ASCII: of other words only their being other words counts
-    return F.transform(ws, lambda w: F.lower(w))
-
-
 def _places(ws: Column, phrase: str) -> Column:
     """Places in the lower-cased words ws where the phrase's words stand one after another."""
     parts = phrase.split()
@@ -63,19 +58,6 @@ def _need(tokens: list[str], threshold: float) -> int:
     return max(1, ceil(threshold * len(tokens) - 1e-9))
 
 
-def _blocks_of(label: str, size: int, need: int, prefix: Column, whole: Column):
-    """Blocks that hold a prefix word and at least `need` of the template's words."""
-
-    def share(ws: Column):
-        return lambda s: F.struct(F.lit(label).alias("label"), s.alias("block"), (F.size(F.array_intersect(whole, F.slice(ws, s + 1, F.lit(WINDOW)))) / F.lit(float(size))).alias("containment"))
-
-    def of(ws: Column) -> Column:
-        starts = F.filter(F.sequence(F.lit(0), F.greatest(F.size(ws) - 1, F.lit(0)), F.lit(STRIDE)), lambda s: F.arrays_overlap(F.slice(ws, s + 1, F.lit(WINDOW)), prefix))
-        return F.filter(F.transform(starts, share(ws)), lambda h: h["containment"] >= F.lit(need / size - 1e-12))
-
-    return of
-
-
 def _all(conds: list[Column]) -> Column:
     out = conds[0]
     for c in conds[1:]:
@@ -83,53 +65,95 @@ def _all(conds: list[Column]) -> Column:
     return out
 
 
+def prefix_index(spark: SparkSession, sets: list[tuple[str, list[int]]], threshold: float) -> DataFrame:
+    """(token, template, label, place, size, need, tokens): each template under the words of its prefix.
+
+    sets: (label, ranks in the global order, ascending). A block with `need` of the `size` words must hold
+    one of the rarest size - need + 1, and the rarest word that both hold is one of these.
+    """
+    rows = []
+    for k, (label, tokens) in enumerate(sets):
+        need = _need(tokens, threshold)
+        rows += [(t, k, label, place, len(tokens), need, tokens) for place, t in enumerate(tokens[: len(tokens) - need + 1])]
+    return spark.createDataFrame(rows, "token int, template int, label string, place int, size int, need int, tokens array<int>")
+
+
+def candidates(blocks: DataFrame, index: DataFrame, least: int) -> DataFrame:
+    """Pairs of blocks (row, block, ranks: their template words in the global order) and templates that the filters leave.
+
+    Prefix: of a block's words the first size - least + 1 are looked up (least: the smallest need), and
+    for a template of larger need only as many as that leaves. Length: a block has `need` words of the
+    templates at all. Position: from the shared word on, both sides have words enough left.
+    """
+    n = F.size("ranks")
+    probes = blocks.select("row", "block", "ranks", F.posexplode(F.slice("ranks", F.lit(1), F.greatest(n - (least - 1), F.lit(0)))).alias("at", "token"))
+    pairs = probes.join(F.broadcast(index), "token")  # a row for each word of a template's prefix
+    by_length, by_prefix = n >= F.col("need"), F.col("at") <= n - F.col("need")
+    by_place = 1 + F.least(F.col("size") - F.col("place") - 1, n - F.col("at") - 1) >= F.col("need")
+    return pairs.where(by_length & by_prefix & by_place)
+
+
+def similar_blocks(blocks: DataFrame, index: DataFrame, least: int) -> DataFrame:
+    """(row, label, block, containment) of every pair that meets the threshold, once: where the shared word is the pair's rarest."""
+    both = F.array_intersect("tokens", "ranks")  # in the order of tokens
+    x = candidates(blocks, index, least).withColumn("both", both).where((F.size("both") >= F.col("need")) & (F.get("both", F.lit(0)) == F.col("token")))
+    return x.select("row", "label", "block", (F.size("both") / F.col("size").cast("double")).alias("containment"))
+
+
+def blocks_of(texts: DataFrame, rank: dict[str, int]) -> DataFrame:
+    """(row, block, ranks) of each block of texts (row, lw): the distinct words that rank knows, by their rank."""
+    known = F.array(*[F.lit(w) for w in rank])
+    number = F.create_map(*[F.lit(x) for pair in rank.items() for x in pair])
+    starts = F.sequence(F.lit(0), F.greatest(F.size("lw") - 1, F.lit(0)), F.lit(STRIDE))
+    own = lambda s: F.array_sort(F.transform(F.array_intersect(F.slice("lw", s + 1, F.lit(WINDOW)), known), lambda w: number[w]))
+    return texts.select("row", F.explode(F.transform(starts, lambda s: F.struct(s.alias("block"), own(s).alias("ranks")))).alias("x")).select("row", "x.block", "x.ranks")
+
+
 def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD, phrases: dict[str, str] = PHRASES) -> DataFrame:
     """One row per row of docs: doc_id, n_words, places (label, start), found (label, block, containment).
 
     The words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` after A-Z is lower-cased; null text has none.
     `places` are all places of the phrases. `found` has, for every block of 64 words (one every
     32) and every template of which the block holds at least `threshold` of the distinct words,
-    the block's first word and the share it holds. The join is exact: words are ordered by how
-    many documents hold them; a block that qualifies must share one of a template's rarest
-    |T| - a + 1 words (a = ceil(threshold |T|)), and its document a of the template's words. There is
-    no position filter: from any prefix word on, a words of the template are left. Rows
-    repeat as in docs; null ids stay null; no templates or empty docs are fine.
+    the block's first word and the share it holds.
+
+    The join is exact. The first pass orders the templates' words by how many documents hold them,
+    and leaves out of the join documents that hold fewer than `need` of every template's words: no
+    block of theirs can hold more. The blocks of the others are joined with the templates' prefix
+    index, which grows with the templates only. Rows repeat as in docs; null ids stay null; no
+    templates or empty docs are fine.
     """
     spark = docs.sparkSession
-    sets = [(label, _tokens(t)) for label, t in templates]
+    sets = [(label, t) for label, text in templates if (t := _tokens(text))]
     vocab = sorted({w for _, t in sets for w in t})
     base = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), words_of(F.col("text")).alias("ws"))
     known = F.array(*[F.lit(w) for w in vocab]) if vocab else F.array().cast("array<string>")
-    # first pass: what each document has of the templates' words, and whole words only where a phrase or template can be
-    low = F.transform(F.array(F.col("ws")), lambda ws: _lowered(ws))[0]
+    low = F.transform(F.array(F.col("ws")), lambda ws: F.transform(ws, ascii_lower))[0]
     x = base.select("row", "doc_id", F.size("ws").cast("long").alias("n_words"), low.alias("lw"))
     x = x.withColumn("own", F.array_intersect("lw", known))
     may = F.lit(False)
     for p in phrases:
         may = may | _all([F.array_contains("lw", w) for w in p.split()])
-    maybe_template = F.lit(False)
+    joined = F.lit(False)
     for _, t in sets:
-        maybe_template = maybe_template | (F.size(F.array_intersect(F.array(*[F.lit(w) for w in t]), "own")) >= _need(t, threshold))
-    x = save(x.select("row", "doc_id", "n_words", "own", F.when(may | maybe_template, F.col("lw")).alias("lw")), "license")
-    freq = {r[0]: r[1] for r in x.select(F.explode("own").alias("w")).groupBy("w").count().collect()}  # at most the templates' words
-    rank = {w: k for k, w in enumerate(sorted(vocab, key=lambda w: (freq.get(w, 0), w)))}
+        joined = joined | (F.size(F.array_intersect(F.array(*[F.lit(w) for w in t]), "own")) >= _need(t, threshold))
+    x = x.withColumn("phrase", may).withColumn("joined", joined)
+    x = save(x.select("row", "doc_id", "n_words", "own", "phrase", "joined", F.when(F.col("phrase") | F.col("joined"), F.col("lw")).alias("lw")), "license")
 
     bound = lambda f: F.transform(F.array(F.col("lw")), f)[0]  # noqa: E731  evaluates lw once
     some = [bound(_labelled_places(p, label)) for p, label in phrases.items()]
-    places = F.concat(*some) if some else F.array().cast("array<struct<label:string,start:int>>")
-    none = "array<struct<label:string,start:int>>"
-    hits = []
-    for label, t in sets:
-        t = sorted(t, key=rank.__getitem__)
-        need = _need(t, threshold)
-        prefix, whole = F.array(*[F.lit(w) for w in t[: len(t) - need + 1]]), F.array(*[F.lit(w) for w in t])
-        # document level: enough of the words at all, and a prefix word among them
-        can = (F.size(F.array_intersect(whole, F.col("own"))) >= need) & F.arrays_overlap(F.col("own"), prefix)
-
-        hits.append(F.when(can & F.col("lw").isNotNull(), bound(_blocks_of(label, len(t), need, prefix, whole))))
-    kind = "array<struct<label:string,block:int,containment:double>>"
-    found = F.concat(*[F.coalesce(h, F.array().cast(kind)) for h in hits]) if hits else F.array().cast(kind)
-    return x.select("doc_id", "n_words", F.when(F.col("lw").isNotNull() & (F.size("lw") > 0), places).otherwise(F.array().cast(none)).alias("places"), found.alias("found"))
+    kind = "array<struct<label:string,start:int>>"
+    places = F.when(F.col("phrase") & (F.size("lw") > 0), F.concat(*some)) if some else F.lit(None)
+    out = x.select("row", "doc_id", "n_words", F.coalesce(places, F.array().cast(kind)).alias("places"))
+    none = F.array().cast("array<struct<label:string,block:int,containment:double>>")
+    if not sets:
+        return out.select("doc_id", "n_words", "places", none.alias("found"))
+    freq = {r[0]: r[1] for r in x.select(F.explode("own").alias("w")).groupBy("w").count().collect()}  # at most the templates' words
+    rank = {w: k for k, w in enumerate(sorted(vocab, key=lambda w: (freq.get(w, 0), w)))}
+    index = prefix_index(spark, [(label, sorted(rank[w] for w in t)) for label, t in sets], threshold)
+    hits = similar_blocks(blocks_of(x.where("joined").select("row", "lw"), rank), index, min(_need(t, threshold) for _, t in sets))
+    found = hits.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("label", "block", "containment"))).alias("found"))  # a text's blocks, as its row held them
+    return out.join(save(found, "found"), "row", "left").select("doc_id", "n_words", "places", F.coalesce("found", none).alias("found"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

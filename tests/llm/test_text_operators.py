@@ -164,3 +164,32 @@ def test_licenses(spark, sep):
     assert got[3]["n_words"] == got[4]["n_words"] == 0 and got[5]["places"] == got[6]["places"] == [] and len(got[None]["places"]) == 1
     assert got[7]["n_words"] == 1
     assert license_scan.scan(df, templates=()).count() == len(rows) and license_scan.scan(df.limit(0)).count() == 0
+
+
+def test_license_join_equals_brute_force_and_lowers_ascii_only(spark):
+    import random
+
+    rnd = random.Random(3)
+    temps = [("a", "one two three four five six seven eight nine ten"), ("b", "two four six eight"), ("c", "red blue. green"), ("d", "work one")]
+    v = "one two three four five six seven eight nine ten red blue green pad fill wor\u212a work".split()
+    texts = [" ".join(rnd.choices(v, k=rnd.choice([0, 3, 12, 70, 200]))) for _ in range(60)] + ["wor\u212a one", "WORK One", "Two FOUR six éight"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3).selectExpr("*", "'x' as row", "'y' as found")
+    got = {r["doc_id"]: sorted((f["label"], f["block"], round(f["containment"], 9)) for f in r["found"]) for r in license_scan.scan(df, templates=temps, phrases={}).collect()}
+    want = {}
+    for d, t in enumerate(texts):
+        w = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t).split()
+        want[d] = sorted((k, s, round(n / len(q), 9)) for k, q in ((k, set(q.replace(".", "").split())) for k, q in temps) for s in range(0, len(w), 32) if (n := len(q & set(w[s : s + 64]))) >= 0.8 * len(q) - 1e-9)
+    assert got == want and got[60] == [] and got[61] != [] and sum(map(len, want.values())) > 20
+
+
+def test_license_filters_prune_and_lose_nothing(spark):
+    """Template of ranks 0 to 9, need 8: prefix 0, 1, 2."""
+    index = license_scan.prefix_index(spark, [("t", list(range(10)))], 0.8)
+    assert sorted(r["token"] for r in index.collect()) == [0, 1, 2]
+    blocks = {0: list(range(10)), 1: [0, 1, 2, 3, 4, 5, 6], 2: [3, 4, 5, 6, 7, 8, 9, 20, 21], 3: [2, 3, 4, 5, 6, 7, 8, 9], 4: [1, 2, 3, 4, 5, 6, 7, 8], 5: [1, 11, 12, 13, 14, 15, 16, 17], 6: [0, 1, 2, 3, 4, 5, 6, 7]}
+    df = spark.createDataFrame([(k, 0, v) for k, v in blocks.items()], "row long, block int, ranks array<int>")
+    pairs = {r["row"] for r in license_scan.candidates(df, index, 8).collect()}
+    assert pairs == {0, 3, 4, 5, 6}  # 1 falls to the length filter, 2 to the prefix filter
+    late = spark.createDataFrame([(9, 0, [0, 1, 2, 3, 4, 5, 6, 7, 8, 9][2:] + [30]), (10, 0, [-3, -2, 2, 3, 4, 5, 6, 7, 8])], "row long, block int, ranks array<int>")
+    assert {r["row"] for r in license_scan.candidates(late, index, 8).collect()} == {9}  # 10 falls to the position filter: at its word 2 seven are left
+    assert {r["row"]: r["containment"] for r in license_scan.similar_blocks(df, index, 8).collect()} == {0: 1.0, 3: 0.8, 4: 0.8, 6: 0.8}
