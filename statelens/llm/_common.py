@@ -2,28 +2,68 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
+#: Bytes of an Arrow batch (one row at least) between an executor and its Python workers, in sessions that set no other number.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """df.mapInArrow(run, schema) in batches of bounded bytes; a worker gives back what it has freed when a task ends.
+
+    Batches bound the memory outside an executor's heap as well as the worker's: Arrow's buffers
+    on both sides and the Python objects made of them.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH) == _default(df.sparkSession):
+        conf.set(_BATCH, str(BATCH_BYTES))
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return df.mapInArrow(held, schema)
+
+
+def _default(spark: SparkSession) -> str:
+    """The batch setting of a session that sets none."""
+    return spark._jvm.org.apache.spark.sql.internal.SQLConf().getConfString(_BATCH)
+
+
+def release() -> None:
+    """Free memory of this worker back to the system: a worker lives on, and its executor's memory counts it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # no glibc: its allocator decides
+        pass
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir, which driver and executors share.
 
-    Only a session without that setting (tests, local mode) gets a temporary folder.
+    Only a local session without that setting (tests) gets a temporary folder; on a cluster its lack is an error.
     """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="statelens-"))
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
@@ -33,11 +73,12 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/statelens/{label}-{uuid.uuid4().hex}"
 
 
-def save(df: DataFrame, label: str, partition_by: str | None = None) -> DataFrame:
+def save(df: DataFrame, label: str, partition_by: str | None = None, compression: str = "snappy") -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: lineage ends here."""
     spark = df.sparkSession
     path = new_path(spark, label)
-    writer = df.write.partitionBy(partition_by) if partition_by else df.write
+    writer = df.write.option("compression", compression)
+    writer = writer.partitionBy(partition_by) if partition_by else writer
     writer.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.saved_at = path

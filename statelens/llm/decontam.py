@@ -1,31 +1,38 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
-The index is sharded by document, as search engines do it: each Arrow batch of training
-documents becomes one segment, a row with the term list, the postings (token places in
-ascending order, all documents of the segment laid end to end) and each document's first
-place. Building and searching move no text and no posting between executors; a lost executor
-costs its own segments.
+The index is sharded by document, as search engines do it: a few MB of training text become
+one segment, a row with the term list, every term's postings (token places in ascending
+order, all documents of the segment laid end to end) and each document's first place. It holds every token, so any test phrases can be looked up in it. Building and searching
+move no text and no posting between executors; a lost executor costs its own segments.
+
+A phrase is found by intersecting its terms' lists, each moved by the term's place in the
+phrase, from the rarest term in the corpus to the commonest.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ._common import save
+from ._common import forget, in_arrow, save, table
 
 #: On UTF-8 bytes after lower-casing A-Z: every byte of a character above U+007F is part of a word.
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 #: Words more than a window's own among which the proximity query looks for all of them: a few inserted ones.
 SLOP = 4
-SEGMENT = "rows array<long>, docs array<long>, known array<boolean>, first array<int>, n_words array<int>, terms array<int>, ptr array<int>, places array<int>"
+#: Pairs of document and item that a search holds before it folds them.
+FOLD = 1 << 20
+#: places and ptr are int32 numbers, as bytes: a value each, so Spark moves a block and not its elements.
+SEGMENT = "rows array<long>, docs array<long>, first array<int>, n_words array<int>, terms array<binary>, ptr binary, gaps binary"
+#: Of a byte: 0 between words, else the byte with A-Z lower-cased.
+LETTER = np.frombuffer(bytes(ord(chr(c).lower()) if c < 128 and WORD.fullmatch(bytes([c]).lower()) else c if c > 127 else 0 for c in range(256)), np.uint8)
 
 
 def words(text: bytes | None) -> list[bytes]:
@@ -37,13 +44,15 @@ class Phrases:
 
     def __init__(self, items: list[tuple[str, bytes | None]], n: int):
         self.vocab: dict[bytes, int] = {}
-        found: dict[tuple[int, ...], set[str]] = {}
+        found: dict[tuple[int, ...], set[int]] = {}
+        self.names = sorted({str(item) for item, _ in items})
+        number = {name: k for k, name in enumerate(self.names)}
         for item, text in items:
             ids = [self.vocab.setdefault(w, len(self.vocab)) for w in words(text)]
             for s in range(max(1, len(ids) - n + 1) if ids else 0):
-                found.setdefault(tuple(ids[s : s + n]), set()).add(str(item))
+                found.setdefault(tuple(ids[s : s + n]), set()).add(number[str(item)])
         self.windows = list(found)
-        self.items = [sorted(found[w]) for w in self.windows]
+        self.items = [np.array(sorted(found[w]), np.int64) for w in self.windows]
         self.by_rarest: dict[int, list[tuple[int, list[int]]]] = {}
 
     def order(self, counts: dict[int, int]) -> None:
@@ -54,103 +63,144 @@ class Phrases:
                 self.by_rarest.setdefault(w[offs[0]], []).append((k, offs))
 
 
-def segments(docs: DataFrame, vocab: dict[bytes, int]) -> DataFrame:
-    """The index over docs (row, doc_id, text as bytes) of the terms in vocab, saved in the shared folder.
-
-    A term that no test phrase holds can't be part of a match, so its postings aren't stored;
-    places count all words.
+def _order(x: np.ndarray) -> np.ndarray:
+    """A stable sort's order of numbers below 2^32: numpy sorts 16 bits at a time by radix."""
+    order = np.argsort((x & 0xFFFF).astype(np.uint16), kind="stable")
+    high = (x >> 16).astype(np.uint16)
+    return order[np.argsort(high[order], kind="stable")] if high.any() else order
+
+
+def _encode(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(terms, each word's term, each text's words) of an Arrow array of texts as bytes."""
+    at = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    raw = texts.buffers()[2]
+    low = LETTER[np.frombuffer(raw, np.uint8)[at[0] : at[-1]]] if raw is not None else np.empty(0, np.uint8)
+    at = at - at[0]
+    inside = low != 0
+    begin, end = inside.copy(), inside.copy()
+    begin[1:] &= ~inside[:-1]
+    end[:-1] &= ~inside[1:]
+    cuts = at[1:-1]
+    cuts = cuts[(cuts > 0) & (cuts < len(low))]  # a text's end is a word's end
+    begin[cuts] = inside[cuts]
+    end[cuts - 1] = inside[cuts - 1]
+    start, stop = np.flatnonzero(begin), np.flatnonzero(end) + 1
+    n = np.diff(np.searchsorted(start, at))
+    ends = np.append(0, np.cumsum(stop - start)).astype(np.int32)
+    got = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(ends), pa.py_buffer(low[inside])]).dictionary_encode()
+    return got.dictionary, got.indices.to_numpy(zero_copy_only=False), n
+
+
+def _segment(rows: pa.Array, docs: pa.Array, texts: pa.Array) -> pa.RecordBatch:
+    """One segment: the postings of all words of some documents."""
+    terms, word, n = _encode(texts)
+    first = np.cumsum(n + 1) - n - 1  # an empty place ends each document
+    place = np.arange(len(word)) + np.repeat(np.arange(len(n)), n)
+    places = place[_order(word)].astype(np.int32)
+    ptr = np.append(0, np.cumsum(np.bincount(word, minlength=len(terms)))).astype(np.int32)
+    gaps = np.diff(places, prepend=np.int32(0)).astype(np.int32)
+    whole = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+    cols = [whole(x) for x in (rows, docs, pa.array(first.astype(np.int32)), pa.array(n.astype(np.int32)), terms)] + [pa.array([x.tobytes()], pa.binary()) for x in (ptr, gaps)]
+    return pa.RecordBatch.from_arrays(cols, names=["rows", "docs", "first", "n_words", "terms", "ptr", "gaps"])
+
+
+def build_index(docs: DataFrame) -> DataFrame:
+    """The positional inverted index over docs (row, doc_id, text as bytes): every token, saved in the shared folder.
+
+    An Arrow batch, which holds a few MB or one document, is a segment. Places within its
+    postings are stored as gaps. An index of one table can be searched for any number of test tables.
     """
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(vocab)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = sent.value.get
         for b in batches:
-            for at in range(0, b.num_rows, 512):
-                x = b.slice(at, 512)
-                ids = x.column(1)
-                first, n, tok = [], [], []
-                place = 0
-                for text in x.column(2).to_pylist():
-                    w = words(text)
-                    first.append(place)
-                    n.append(len(w))
-                    tok.append(np.fromiter((get(t, -1) for t in w), np.int32, len(w)))
-                    place += len(w) + 1  # an empty place ends each document
-                    tok.append(np.full(1, -1, np.int32))
-                flat = np.concatenate(tok)
-                at_all = np.flatnonzero(flat >= 0).astype(np.int32)
-                order = np.argsort(flat[at_all], kind="stable")
-                places = at_all[order]
-                terms, ptr = np.unique(flat[places], return_index=True)
-                row = [x.column(0).to_pylist(), ids.fill_null(0).to_pylist(), ids.is_valid().to_pylist(), first, n, terms.astype(np.int32), np.append(ptr, len(places)).astype(np.int32), places]
-                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, [pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.bool_())] + [pa.list_(pa.int32())] * 5, strict=True)], names=["rows", "docs", "known", "first", "n_words", "terms", "ptr", "places"])
-
-    return save(docs.select("row", "doc_id", "text").mapInArrow(build, SEGMENT), "segments")
+            if b.num_rows:
+                yield _segment(*b.columns)
+
+    return save(in_arrow(docs.select("row", "doc_id", F.coalesce("text", F.lit(b"")).alias("text")), build, SEGMENT), "segments", compression="zstd")
+
+
+def _known(b: pa.RecordBatch, i: int, vocab: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(numbers in vocab, places in the term list, ptr) of a segment's terms that vocab holds."""
+    number = pc.index_in(b.column("terms")[i].values, value_set=vocab)
+    at = np.flatnonzero(number.is_valid().to_numpy(zero_copy_only=False))
+    return number.drop_null().to_numpy(), at, np.frombuffer(b.column("ptr")[i].as_buffer(), np.int32)
 
 
 class Segment:
-    def __init__(self, row: dict):
-        self.rows, self.docs, self.known = row["rows"], row["docs"], row["known"]
-        self.first, self.n = np.asarray(row["first"]), np.asarray(row["n_words"])
-        self.terms, self.ptr, self.places = row["terms"], row["ptr"], row["places"]
-        self.at = {int(t): k for k, t in enumerate(self.terms)}
-        self.total = int(self.first[-1] + self.n[-1] + 1) if len(self.first) else 0
-        self.flat = np.full(self.total + 1, -1, np.int32)
-        self.flat[self.places] = np.repeat(self.terms, np.diff(self.ptr))
+    """One segment's postings of the terms in vocab; a term's number is its place there."""
 
-    def list(self, term: int) -> np.ndarray:
-        k = self.at.get(term)
-        return self.places[self.ptr[k] : self.ptr[k + 1]] if k is not None else self.places[:0]
+    def __init__(self, b: pa.RecordBatch, i: int, vocab: pa.Array):
+        self.rows, self.docs = b.column("rows")[i].values, b.column("docs")[i].values
+        self.first, self.n = (b.column(c)[i].values.to_numpy(zero_copy_only=False) for c in ("first", "n_words"))
+        self.total = int(self.first[-1] + self.n[-1] + 1) if len(self.first) else 0
+        places = np.cumsum(np.frombuffer(b.column("gaps")[i].as_buffer(), np.int32), dtype=np.int64)
+        number, at, ptr = _known(b, i, vocab)
+        self.lists = {t: places[ptr[k] : ptr[k + 1]] for t, k in zip(number.tolist(), at.tolist(), strict=True)}
+        self.none = places[:0]
 
     def exact(self, window: tuple[int, ...], offs: list[int]) -> np.ndarray:
-        """Starts of the phrase: the rarest term's list moved by its offset, cut down by each other term's.
+        """Starts of the phrase: the rarest term's list moved by its offset, cut down to each other term's.
 
-        Whether a place is in a term's list is read off the segment's forward array, which the
-        lists fill; places of a document never reach beyond the empty one at its end.
+        Places of a document never reach beyond the empty one at its end, so no match does.
         """
-        starts = self.list(window[offs[0]]) - offs[0]
-        starts = starts[(starts >= 0) & (starts + len(window) <= self.total)]
+        starts = self.lists.get(window[offs[0]], self.none) - offs[0]
         for o in offs[1:]:
             if not len(starts):
                 break
-            starts = starts[self.flat[starts + o] == window[o]]
+            other = self.lists.get(window[o], self.none)
+            if len(other):
+                k = np.searchsorted(other, starts + o)
+                starts = starts[other[np.minimum(k, len(other) - 1)] == starts + o]
+            else:
+                starts = self.none
         return starts
 
-    def near(self, window: tuple[int, ...], offs: list[int], slop: int) -> list[tuple[int, int]]:
-        """(start, length) around each rarest term where len(window) + slop words hold every word of the phrase, in any order."""
-        span, need, out = len(window) + slop, Counter(window), []
-        a = self.list(window[offs[0]])
+    def near(self, window: tuple[int, ...], offs: list[int], slop: int) -> tuple[np.ndarray, np.ndarray]:
+        """(starts, lengths): for each place of the rarest term the first run of at most len(window) + slop words
+        of its document that takes in this place and holds every word of the phrase, in any order."""
+        span, need = len(window) + slop, {}
+        for t in window:
+            need[t] = need.get(t, 0) + 1
+        a = self.lists.get(window[offs[0]], self.none)
         for t in dict.fromkeys(window[o] for o in offs[1:]):
             if not len(a):
-                return out
-            p = self.list(t)
-            k = np.searchsorted(p, a - span + 1)
-            a = a[(k < len(p)) & (p[np.minimum(k, max(len(p) - 1, 0))] < a + span)] if len(p) else a[:0]
-        for x in a.tolist():
-            d = int(np.searchsorted(self.first, x, side="right") - 1)
-            lo, hi = max(int(self.first[d]), x - span + 1), min(int(self.first[d] + self.n[d]), x + span)
-            got = self.flat[lo:hi].tolist()
-            for s in range(max(1, len(got) - span + 1)):
-                part = Counter(got[s : s + span])
-                if all(part[t] >= c for t, c in need.items()):
-                    out.append((lo + s, min(span, len(got) - s)))
-                    break
-        return out
-
-
-def _segment_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[Segment]:
-    for b in batches:
-        for i in range(b.num_rows):
-            yield Segment({c: (v.tolist() if c in ("rows", "docs", "known") else v) for c in b.schema.names for v in [b.column(c)[i].values.to_numpy(zero_copy_only=False)]})
-
-
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total: Counter = Counter()
-    for b in batches:
-        for i in range(b.num_rows):
-            total.update(dict(zip(b.column("terms")[i].values.to_pylist(), np.diff(b.column("ptr")[i].values.to_numpy()).tolist(), strict=True)))
-    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(list(total.values()), pa.int64())], names=["term", "n"])
+                break
+            p = self.lists.get(t, self.none)
+            lo, hi = np.searchsorted(p, a - span + 1), np.searchsorted(p, a + span)
+            a = a[hi - lo >= need[t]]
+        if not len(a):
+            return self.none, self.none
+        d = np.searchsorted(self.first, a, side="right") - 1
+        lo, hi = np.maximum(self.first[d], a - span + 1), np.minimum(self.first[d] + self.n[d], a + span)
+        start, size = np.full(len(a), -1, np.int64), np.zeros(len(a), np.int64)
+        for shift in range(span):  # the run's start, counted from the earliest that takes in the place
+            s = np.minimum(lo + shift, a)
+            e = np.minimum(s + span, hi)
+            ok = start < 0
+            for t, c in need.items():
+                p = self.lists[t]
+                ok &= np.searchsorted(p, e) - np.searchsorted(p, s) >= c
+            start[ok], size[ok] = s[ok], (e - s)[ok]
+        return start[start >= 0], size[start >= 0]
+
+
+def _counts(index: DataFrame, vocab: dict[bytes, int]) -> dict[int, int]:
+    """How often the corpus holds each term of vocab: a row for each at most."""
+    sent = index.sparkSession.sparkContext.broadcast(list(vocab))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = pa.array(sent.value, pa.binary())
+        total = np.zeros(len(known), np.int64)
+        for b in batches:
+            for i in range(b.num_rows):
+                number, at, ptr = _known(b, i, known)
+                total[number] += np.diff(ptr)[at]
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], names=["term", "n"])
+
+    got = in_arrow(index.select("terms", "ptr"), run, "term int, n long").groupBy("term").agg(F.sum("n")).collect()
+    sent.unpersist()
+    return dict(map(tuple, got))
 
 
 def _blocks(bench: DataFrame, most_bytes: int) -> Iterator[list[tuple[str, bytes | None]]]:
@@ -165,104 +215,123 @@ def _blocks(bench: DataFrame, most_bytes: int) -> Iterator[list[tuple[str, bytes
     yield held
 
 
-def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
-        else:
-            out.append((a, b))
-    return out
+def _runs(cover: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of true."""
+    step = np.diff(np.concatenate([[False], cover, [False]]).astype(np.int8))
+    return np.flatnonzero(step > 0), np.flatnonzero(step < 0)
+
+
+class _Items:
+    """Distinct (document, item) pairs: folded as they come, so a passage that many items and documents share costs its pairs once."""
+
+    def __init__(self, n_items: int):
+        self.n, self.held, self.size, self.seen = max(1, n_items), [], 0, np.empty(0, np.int64)
+
+    def add(self, docs: np.ndarray, items: np.ndarray) -> None:
+        step = max(1, FOLD // max(1, len(items)))
+        for at in range(0, len(docs), step):
+            x = (docs[at : at + step, None] * self.n + items).ravel()
+            self.held.append(x)
+            self.size += len(x)
+            if self.size >= FOLD:
+                self.fold()
+
+    def fold(self) -> np.ndarray:
+        if self.held:
+            self.seen = np.unique(np.concatenate([self.seen, *self.held]))
+            self.held, self.size = [], 0
+        return self.seen
+
+    def lists(self, n_docs: int, names: pa.Array, without: np.ndarray | None = None) -> pa.Array:
+        """Each document's items; names are sorted, and so are a document's."""
+        x = self.fold()
+        if without is not None:
+            x = np.setdiff1d(x, without, assume_unique=True)
+        ends = np.searchsorted(x, (np.arange(n_docs) + 1) * self.n)
+        return pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), names.take(pa.array(x % self.n)))
 
 
-FOUND = "row long, doc_id long, n_words long, hits array<struct<item_id:string,start:int,length:int,exact:boolean>>"
+FOUND = "row long, doc_id long, n_words long, items array<string>, spans array<struct<start:int,stop:int>>, near_items array<string>"
 
 
-def _search(index: DataFrame, ph: Phrases, slop: int | None, then=None, schema: str = FOUND) -> DataFrame:
-    """The hits of every row; `then` goes on with the batches in the same Python worker."""
-    sent = index.sparkSession.sparkContext.broadcast((ph.windows, ph.items, ph.by_rarest))
+def search(index: DataFrame, phrases: Phrases, slop: int | None = None) -> DataFrame:
+    """FOUND of every document of the index: items with a window word for word, the merged spans of words in
+    such windows, and, with slop, further items that have all words of a window close together."""
+    sent = index.sparkSession.sparkContext.broadcast((list(phrases.vocab), phrases.names, phrases.windows, phrases.items, phrases.by_rarest))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows, items, by_rarest = sent.value
-        for seg in _segment_rows(batches):
-            hits: dict[int, list] = {}
-            for term in seg.terms.tolist():
-                for k, offs in by_rarest.get(term, ()):
-                    w = windows[k]
-                    starts = seg.exact(w, offs)
-                    found = [(s, len(w), True) for s in starts.tolist()]
-                    if slop is not None:
-                        had = set(starts.tolist())
-                        found += [(s, n, False) for s, n in seg.near(w, offs, slop) if s not in had]
-                    for s, n, exact in found:
-                        d = int(np.searchsorted(seg.first, s, side="right") - 1)
-                        hits.setdefault(d, []).extend({"item_id": i, "start": s - int(seg.first[d]), "length": n, "exact": exact} for i in items[k])
-            n = len(seg.docs)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(seg.rows, pa.int64()), pa.array([d if ok else None for d, ok in zip(seg.docs, seg.known, strict=True)], pa.int64()), pa.array(seg.n, pa.int64()), pa.array([hits.get(i, []) for i in range(n)], HITS)],
-                names=["row", "doc_id", "n_words", "hits"],
-            )
-
-    return index.mapInArrow((lambda batches: then(run(batches))) if then else run, schema)
-
-
-HITS = pa.list_(pa.struct([("item_id", pa.string()), ("start", pa.int32()), ("length", pa.int32()), ("exact", pa.bool_())]))
-
-
-def find(docs: DataFrame, bench: DataFrame, n: int = 13, slop: int | None = None, most_bytes: int = 16 << 20, row: Column | None = None, then=None, schema: str = FOUND) -> DataFrame:
-    """One row per row of docs: row, doc_id, n_words, hits (item_id, start, length, exact).
+        vocab, names, windows, items, by_rarest = sent.value
+        names, vocab = pa.array(names, pa.string()), pa.array(vocab, pa.binary())
+        for b in batches:
+            for i in range(b.num_rows):
+                seg = Segment(b, i, vocab)
+                cover = np.zeros(seg.total + 1, np.int32)
+                exact, close = _Items(len(names)), _Items(len(names))
+                for term in seg.lists:
+                    for k, offs in by_rarest.get(term, ()):
+                        starts = seg.exact(windows[k], offs)
+                        if len(starts):
+                            np.add.at(cover, starts, 1)
+                            np.add.at(cover, starts + len(windows[k]), -1)
+                            exact.add(np.unique(np.searchsorted(seg.first, starts, side="right") - 1), items[k])
+                        if slop is not None:
+                            starts = seg.near(windows[k], offs, slop)[0]
+                            if len(starts):
+                                close.add(np.unique(np.searchsorted(seg.first, starts, side="right") - 1), items[k])
+                n = len(seg.first)
+                start, stop = _runs(np.cumsum(cover) > 0)
+                doc = np.searchsorted(seg.first, start, side="right") - 1
+                spans = pa.StructArray.from_arrays([pa.array((start - seg.first[doc]).astype(np.int32)), pa.array((stop - seg.first[doc]).astype(np.int32))], names=["start", "stop"])
+                ends = np.append(0, np.cumsum(np.bincount(doc, minlength=n))).astype(np.int32)
+                out = [seg.rows, seg.docs, pa.array(seg.n.astype(np.int64)), exact.lists(n, names), pa.ListArray.from_arrays(pa.array(ends), spans), close.lists(n, names, exact.fold())]
+                yield pa.RecordBatch.from_arrays(out, names=["row", "doc_id", "n_words", "items", "spans", "near_items"])
+
+    return in_arrow(index, run, FOUND)
+
+
+def _united(spans: Column) -> Column:
+    """Overlapping or touching spans as one."""
+    far = F.array_sort(spans)
+    put = lambda acc, s: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["stop"] >= s["start"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["stop"], s["stop"]).alias("stop"))))).otherwise(F.concat(acc, F.array(s)))
+    return F.aggregate(far, F.slice(far, 1, 0), put)
+
+
+def contamination(docs: DataFrame, bench: DataFrame, n: int = 13, slop: int | None = None, least_share: int = 20, most_bytes: int = 16 << 20) -> DataFrame:
+    """One row per row of docs: row, doc_id, n_words, n_hit, items, spans, near_items, contaminated.
 
     A document's words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` after A-Z is lower-cased. Windows
-    are n consecutive words of an item; an item of fewer, but not none, is one window. Exact
-    hits hold a window word for word from word `start`; with slop, hits that aren't exact hold
-    all its words, in any order, within its length + slop words. Null or empty text has no words;
-    a null doc_id stays null; repeated rows give a row each; an empty bench gives no hits, empty
-    docs no rows. Test text beyond most_bytes is searched block by block, each with an index of
-    its own, and the hits are put together by row. row: a column of docs that numbers its rows.
-    then, schema: what to make of the Arrow batches of these rows, instead of returning them.
+    are n consecutive words of an item; an item of fewer, but not none, is one window. items (sorted
+    as strings) are those of which the document holds a window word for word, spans the runs
+    [start, stop) of words inside such windows, n_hit their words; contaminated is n_hit > 0 and
+    least_share * n_hit >= n_words. With slop, near_items are further items that have all words of a
+    window, in any order, within its length + slop words. Null or empty text has no words; a null
+    doc_id stays null; repeated rows give a row each; an empty bench gives no hits, empty docs no
+    rows. The index is built once; test text beyond most_bytes is searched in it block by block, and
+    the hits are put together by row.
     """
-    docs = docs.select((F.monotonically_increasing_id() if row is None else row).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
-    found = []
-    for k, items in enumerate(blocks := list(_blocks(bench, most_bytes))):
-        if len(blocks) > 1 and not k and row is None:
-            docs = save(docs, "rows")  # the row numbers must hold from block to block
-        ph = Phrases(items, n)
-        index = segments(docs, ph.vocab)
-        counts = index.select("terms", "ptr").mapInArrow(_counts, "term int, n long").groupBy("term").agg(F.sum("n"))
-        ph.order(dict(map(tuple, counts.collect())))  # a row for each word of the block at most
-        found.append(_search(index, ph, slop, then, schema) if len(blocks) == 1 else _search(index, ph, slop))
-    out = found[0]
-    if len(found) > 1:
-        for x in found[1:]:
-            out = out.unionByName(x)
-        out = out.groupBy("row", "doc_id", "n_words").agg(F.flatten(F.collect_list("hits")).alias("hits"))
-        out = out.mapInArrow(then, schema) if then else out
-    return out
-
-
-SUMMARY = "row long, doc_id long, n_words long, n_hit long, items array<string>, spans array<struct<start:int,stop:int>>, near_items array<string>"
-
-
-def _summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        rows = []
-        for r in b.to_pylist():
-            hits = r["hits"] or []
-            spans = _merged([(h["start"], h["start"] + h["length"]) for h in hits if h["exact"]])
-            items = {h["item_id"] for h in hits if h["exact"]}
-            rows.append({"row": r["row"], "doc_id": r["doc_id"], "n_words": r["n_words"], "n_hit": sum(y - x for x, y in spans), "items": sorted(items), "spans": [{"start": x, "stop": y} for x, y in spans], "near_items": sorted({h["item_id"] for h in hits} - items)})
-        if rows:
-            yield pa.RecordBatch.from_pylist(rows, schema=SUMMARY_PA)
-
-
-SUMMARY_PA = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))), ("near_items", pa.list_(pa.string()))])
-
-
-def contamination(docs: DataFrame, bench: DataFrame, n: int = 13, slop: int | None = None, least_share: int = 20, most_bytes: int = 16 << 20, row: Column | None = None) -> DataFrame:
-    """find() by document row: n_hit words inside any exact match, items (sorted as strings), spans
-    [start, stop) of hit words, near_items, contaminated (n_hit > 0 and least_share * n_hit >= n_words)."""
-    out = find(docs, bench, n, slop, most_bytes, row, _summary, SUMMARY)
-    return out.withColumn("contaminated", (F.col("n_hit") > 0) & (least_share * F.col("n_hit") >= F.col("n_words")))
+    return lookup(build_index(_numbered(docs, F.monotonically_increasing_id())), bench, n, slop, least_share, most_bytes)
+
+
+def _numbered(docs: DataFrame, row: Column) -> DataFrame:
+    return docs.select(row.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
+
+
+def lookup(index: DataFrame, bench: DataFrame, n: int = 13, slop: int | None = None, least_share: int = 20, most_bytes: int = 16 << 20) -> DataFrame:
+    """contamination() of the documents of an index that is there already."""
+    out, many = None, False
+    for items in _blocks(bench, most_bytes):
+        phrases = Phrases(items, n)
+        phrases.order(_counts(index, phrases.vocab))
+        found = search(index, phrases, slop)
+        # a second block means that the first one's result must be kept while the driver goes on
+        many = many or out is not None
+        out = found if out is None else save(out, "hits").unionByName(save(found, "hits"))
+    if many:
+        out = out.groupBy("row", "doc_id", "n_words").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), _united(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("near_items")))).alias("near_items"))
+        out = out.withColumn("near_items", F.array_except("near_items", "items"))
+    hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["stop"] - s["start"])
+    out = out.withColumn("n_hit", hit)
+    return out.select("row", "doc_id", "n_words", "n_hit", "items", "spans", "near_items", ((F.col("n_hit") > 0) & (least_share * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
 
 
 def cut_words(text: str, spans: list[tuple[int, int]]) -> str:
@@ -276,27 +345,42 @@ def cut_words(text: str, spans: list[tuple[int, int]]) -> str:
     return b"".join([*out, raw[last:]]).decode()
 
 
-def decontaminate(docs: DataFrame, bench: DataFrame, n: int = 13, least_share: int = 20) -> DataFrame:
-    """docs without its contaminated rows; of the others' texts every hit span is cut out, and n_chars, if there, follows.
-
-    Rows without a hit stay as they are, null and empty texts and null ids among them.
-    """
-    docs = save(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-    hit = contamination(docs, bench, n, None, least_share, row=F.col("__row")).where("n_hit > 0").select(F.col("row").alias("__row"), F.col("contaminated").alias("__bad"), F.col("spans").alias("__spans"))
-    x = docs.join(save(hit, "hits"), "__row", "left").where(~F.coalesce("__bad", F.lit(False)))
-    names, at = [c for c in docs.columns if c != "__row"], docs.columns.index("text")
-    schema = StructType([f for f in docs.schema if f.name != "__row"])
+def _cut(docs: DataFrame, bench: DataFrame, n: int, least_share: int) -> tuple[DataFrame, DataFrame]:
+    """(rows of docs without a hit, rows that were cut and not dropped), saved."""
+    numbered = save(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    index = build_index(_numbered(numbered, F.col("__row")))
+    hit = lookup(index, bench, n, None, least_share).where("n_hit > 0")
+    hit = save(hit.select(F.col("row").alias("__row"), F.col("contaminated").alias("__bad"), F.col("spans").alias("__spans")), "hits")
+    forget(index)
+    names, at = docs.columns, docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [cut_words(t, [(s["start"], s["stop"]) for s in spans]) for t, spans in zip(b.column(at).to_pylist(), b.column(len(b.schema.names) - 1).to_pylist(), strict=True)]
+            texts = [cut_words(t.as_py(), [(s["start"], s["stop"]) for s in spans.as_py()]) for t, spans in zip(b.column(at), b.column(len(names)), strict=True)]
             cols = [pa.array(texts, pa.string()) if c == "text" else b.column(c) for c in names]
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    cut = x.where("__spans is not null").select(*names, "__spans").mapInArrow(run, schema)
+    x = in_arrow(numbered.join(hit.where("not __bad"), "__row").select(*names, "__spans"), run, StructType(docs.schema.fields))
     if "n_chars" in names:
-        cut = cut.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return x.where("__spans is null").select(*names).unionByName(cut)
+        x = x.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    cut = save(x.select(*names), "cut")
+    return numbered.join(hit, "__row", "left_anti").select(*names), cut
+
+
+def decontaminate(docs: DataFrame, bench: DataFrame, n: int = 13, least_share: int = 20) -> DataFrame:
+    """docs without its contaminated rows; of the others' texts every hit span is cut out, and n_chars, if there, follows.
+
+    Cutting can bring words together that hold a window again, so what was cut is searched again
+    until nothing is hit; a text gets shorter each time, so this ends. Rows that are contaminated
+    then go too. Rows without a hit stay as they are, null and empty texts and null ids among them.
+    """
+    clean, cut = _cut(docs, bench, n, least_share)
+    while cut.head(1):
+        more, again = _cut(cut, bench, n, least_share)
+        clean = clean.unionByName(more)
+        forget(cut)
+        cut = again
+    return clean
 
 
 ORACLE = r"""
@@ -318,8 +402,6 @@ from w left join h using (rn) left join i using (rn)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ._common import table
-
     out = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
 
@@ -327,8 +409,6 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def near_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The proximity half: items with all words of a window, in any order, within its length + SLOP words of a document that
     holds none of the item's windows word for word. A query of its own, as op2_decontamination's columns are those of its SQL."""
-    from ._common import table
-
     out = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), slop=SLOP)
     near = F.array_join("near_items", ",")
     return out.select("doc_id", "n_words", F.size("near_items").cast("long").alias("n_near"), F.sha2(near.cast("binary"), 256).alias("near_sha256"))

@@ -97,6 +97,63 @@ def test_decontaminate_cuts_and_drops(spark):
     assert got == {"a": f"{long} . {long}", "c": long, "d": None, "e": ""}
 
 
+def test_cutting_goes_on_until_nothing_is_hit(spark):
+    """Cutting one passage joins the words of another, and of a third."""
+    long = " ".join(f"w{i}" for i in range(400))
+    docs = [(1, f"{long} e a b p q r s c d f {long}"), (2, f"{long} a b c d")]
+    bench = spark.createDataFrame([(1, "p q r s"), (2, "a b c d"), (3, "e f w0 w1")], "item_id long, text string")
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    got = dict(map(tuple, decontam.decontaminate(d, bench).collect()))
+    assert " ".join(got[1].split()) == f"{long} {long.removeprefix('w0 w1 ')}" and got[2].strip() == long
+
+
+def test_common_passage_of_many_items(spark):
+    """One segment of documents that share a passage, which 40 items hold: memory follows documents and items, not their hits."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    passage = [b"p%d" % i for i in range(120)]
+    texts = [b" ".join([b"d%d" % k, *passage, b"e%d" % k]) for k in range(512)]
+    items = [(str(k), b" ".join([*passage, b"i%d" % k])) for k in range(40)]
+    ph = decontam.Phrases(items, 13)
+    ids = pa.array(range(512), pa.int64())
+    seg = decontam.Segment(decontam._segment(ids, ids, pa.array(texts, pa.binary())), 0, pa.array(list(ph.vocab), pa.binary()))
+    tracemalloc.start()
+    found = decontam._Items(40)
+    ph.order({t: 1 for t in ph.vocab.values()} | {ph.vocab[b"i%d" % k]: 1 for k in range(40)})
+    for t in seg.lists:
+        for k, offs in ph.by_rarest.get(t, ()):
+            s = seg.exact(ph.windows[k], offs)
+            found.add(s // 123, ph.items[k])
+    assert len(found.fold()) == 512 * 40 and tracemalloc.get_traced_memory()[1] < 64e6
+    assert found.lists(512, pa.array(ph.names))[511].as_py() == sorted(map(str, range(40)))
+
+
+def test_words_of_many_texts_equal_the_pattern():
+    import pyarrow as pa
+
+    rnd = random.Random(7)
+    texts = ["".join(rnd.choices("aB9é _-\x00\x7fZ\n中", k=rnd.randrange(12))).encode() for _ in range(500)]
+    batch = pa.array([b"cut off", *texts, b"too"], pa.binary()).slice(1, 500)
+    terms, word, n = decontam._encode(batch)
+    flat = [t.as_py() for t in terms.take(pa.array(word))]
+    assert flat == [w for t in texts for w in decontam.words(t)] and n.tolist() == [len(decontam.words(t)) for t in texts]
+    x = rnd.sample(range(1 << 20), 3000) * 2
+    import numpy as np
+
+    assert decontam._order(np.array(x)).tolist() == np.argsort(x, kind="stable").tolist()
+
+
+def test_index_is_searched_for_several_test_tables(spark):
+    docs, bench = tables()
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    index = decontam.build_index(decontam._numbered(d, decontam.F.monotonically_increasing_id()))
+    for part in (bench[:3], bench[3:]):
+        got = decontam.lookup(index, spark.createDataFrame(part, "item_id long, text string"), 4).collect()
+        assert sorted([(r["doc_id"], r["n_words"], r["n_hit"], tuple(r["items"]), r["contaminated"]) for r in got], key=repr) == brute(docs, part, 4)
+
+
 def test_empty_tables(spark):
     docs, bench = (spark.createDataFrame([], f"{i} long, text string") for i in ("doc_id", "item_id"))
     one = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
