@@ -7,8 +7,8 @@ updated with those a 304 may carry.
 
 from __future__ import annotations
 
-import gzip
 import io
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -16,10 +16,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._common import save, shuffle_parts, table
+from ._common import in_arrow, save, shuffle_parts, table
 
 #: Header fields that a 304 response carries for the stored one (RFC 9110, 15.4.5).
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "vary")
+#: Statuses of responses without a whole body.
+PARTIAL = (206, 304)
 #: Query parameters that don't tell pages apart.
 TRACKING = r"^(utm_[a-z]+|fbclid|gclid|ref)="
 
@@ -42,39 +44,57 @@ def _tag(etag: Column) -> Column:
 def resolve_revisits(records: DataFrame, permitted: tuple[str, ...] = PERMITTED) -> DataFrame:
     """One row per row of records: record_id, canonical, type, outcome, ref_id, status, headers, digest.
 
-    records: record_id long, url, date (any ordered type), type (`response` or `revisit`, other
-    types pass through), status int, headers map<string,string>, digest (of the payload). Earlier is
-    smaller by (date, record_id). outcome: `full` for other records than revisits; for a revisit
-    `orphan` (no earlier response of its canonical URL, or no URL or date), `mismatch` (a validator
-    differs: ETag by weak comparison, Last-Modified where no ETag is on both sides, or digest where
-    both have one), `unchecked` (nothing to compare) or `resolved`. The last two take the response's
-    status, digest and headers, with `permitted` fields (names in lower case) of the revisit put over them;
+    records: record_id, url, date (any ordered type), type (`response` or `revisit`, other
+    types pass through), status int, headers map<string,string>, digest (of the payload), and, if
+    there, profile (the WARC-Profile) and truncated (the WARC-Truncated reason).
+
+    A response is full if it has a status other than 304 and 206, which bring no whole body, and
+    isn't truncated. Earlier is smaller by (date, record_id), and of equal ones a full response
+    comes before a revisit; of several full responses of one (date, record_id) the one of the greatest
+    digest, then status, then headers counts (null is smallest), whatever the order of the rows.
+
+    A revisit is of one of two kinds by its profile: `identical-payload-digest` brings headers of its own
+    and lacks the payload only, any other one, or none, is server-not-modified. Its response is the
+    latest earlier full one of its canonical URL; which record it names as its original isn't asked.
+    outcome: `full` for other records than revisits; for a revisit `orphan` (no earlier full response
+    of its canonical URL, or no URL or date), `mismatch` (a validator differs: ETag by weak comparison,
+    Last-Modified where no ETag is on both sides, or digest where both have one; of an
+    identical payload the digest only), `unchecked` (nothing to compare) or `resolved`. The last two take the
+    response's digest; a server-not-modified one its status too, and its headers, with `permitted` fields (names in
+    lower case) of the revisit put over them, while an identical payload keeps its own status and headers.
     ref_id is the response's id, and is given for a mismatch too. Of header names that differ in
-    case only one stays. Null headers are empty. Repeated rows each give a row; a response
-    of the same date counts if its id is smaller. Empty tables give no rows.
+    case only one stays. Null headers are empty. Repeated rows each give a row. Empty tables give no rows.
 
     A URL that a third of all records share is dealt out by ranges of (url, date): windows run
     inside a range, and what a range needs of the ones before it is one row per range and URL.
     """
     none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
-    x = records.select("record_id", canonical_url(F.col("url")).alias("canonical"), "date", "type", "status", F.coalesce(_first_keys(F.col("headers")), none).alias("headers"), "digest")
-    order = [F.col("date"), F.col("record_id")]
+    given = lambda c: F.col(c).cast("string") if c in records.columns else F.lit(None).cast("string")
+    x = records.select("record_id", canonical_url(F.col("url")).alias("canonical"), "date", "type", "status", F.coalesce(_first_keys(F.col("headers")), none).alias("headers"), "digest", given("profile").alias("profile"), given("truncated").alias("truncated"))
+    whole = F.coalesce((F.col("type") == "response") & ~F.col("status").isin(*PARTIAL) & F.col("truncated").isNull(), F.lit(False))
+    # what orders full responses of one date and id, and headers are compared by
+    text = F.array_join(F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit("")))), "\n")
+    x = x.withColumn("whole", whole).withColumn("tie", F.struct("digest", "status", text.alias("text")))
+    by = ["date", "record_id"]
     parts = shuffle_parts(x.sparkSession)
     keyed = x.where("canonical is not null and date is not null")
-    keyed = save(keyed.repartitionByRange(parts, "canonical", *order).withColumn("part", F.spark_partition_id()), "records")
-    full = F.when(F.col("type") == "response", F.struct("record_id", "status", "headers", "digest"))
+    keyed = save(keyed.repartitionByRange(parts, "canonical", *by).withColumn("part", F.spark_partition_id()), "records")
+    # rows of one (date, record_id) are in one range: a full response stands before other records, the greatest tie last of the full ones
+    order = [*map(F.col, by), F.col("whole").desc(), F.col("tie").asc()]
+    full = F.when(F.col("whole"), F.struct("record_id", "status", "headers", "digest"))
     inside = Window.partitionBy("part", "canonical").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     got = keyed.withColumn("before", F.last(full, ignorenulls=True).over(inside))
-    ends = keyed.where("type = 'response'").groupBy("canonical", "part").agg(F.max_by(F.struct("record_id", "status", "headers", "digest"), F.struct("date", "record_id")).alias("last"))
+    ends = keyed.where("whole").groupBy("canonical", "part").agg(F.max_by(F.struct("record_id", "status", "headers", "digest"), F.struct("date", "record_id", "tie")).alias("last"))
     spans = keyed.groupBy("canonical", "part").agg(F.count("*").alias("n")).join(ends, ["canonical", "part"], "left")
     carry = spans.select("canonical", "part", F.last("last", ignorenulls=True).over(Window.partitionBy("canonical").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)).alias("carry")).where("carry is not null")
     got = got.join(carry, ["part", "canonical"], "left").withColumn("ref", F.when(F.col("type") == "revisit", F.coalesce("before", "carry"))).drop("part", "before", "carry", "n")
     lost = x.where("canonical is null or date is null").withColumn("ref", F.lit(None).cast(got.schema["ref"].dataType))
     y = got.unionByName(lost)
 
+    same_payload = F.coalesce(F.col("profile").contains("identical-payload-digest"), F.lit(False))
     tag, ref_tag = _tag(F.col("headers")["etag"]), _tag(F.col("ref.headers")["etag"])
     time, ref_time = F.col("headers")["last-modified"], F.col("ref.headers")["last-modified"]
-    by_tag, by_time, by_digest = tag.isNotNull() & ref_tag.isNotNull(), time.isNotNull() & ref_time.isNotNull(), F.col("digest").isNotNull() & F.col("ref.digest").isNotNull()
+    by_tag, by_time, by_digest = ~same_payload & tag.isNotNull() & ref_tag.isNotNull(), ~same_payload & time.isNotNull() & ref_time.isNotNull(), F.col("digest").isNotNull() & F.col("ref.digest").isNotNull()
     differs = (by_tag & (tag != ref_tag)) | (~by_tag & by_time & (time != ref_time)) | (by_digest & (F.col("digest") != F.col("ref.digest")))
     outcome = (
         F.when(F.coalesce(F.col("type") != "revisit", F.lit(True)), "full")
@@ -83,8 +103,7 @@ def resolve_revisits(records: DataFrame, permitted: tuple[str, ...] = PERMITTED)
         .when(~(by_tag | by_time | by_digest), "unchecked")
         .otherwise("resolved")
     )
-    y = y.withColumn("outcome", outcome)
-    takes = F.col("outcome").isin("resolved", "unchecked")
+    y = y.withColumn("outcome", outcome).withColumn("takes", F.col("outcome").isin("resolved", "unchecked")).withColumn("merges", F.col("takes") & ~same_payload)
     update = F.map_filter("headers", lambda k, v: k.isin(*permitted))
     stays = F.map_filter(F.col("ref.headers"), lambda k, v: ~F.array_contains(F.map_keys(update), k))
     return y.select(
@@ -93,9 +112,9 @@ def resolve_revisits(records: DataFrame, permitted: tuple[str, ...] = PERMITTED)
         "type",
         "outcome",
         F.col("ref.record_id").alias("ref_id"),
-        F.when(takes, F.col("ref.status")).otherwise(F.col("status")).alias("status"),
-        F.when(takes, F.map_concat(stays, update)).otherwise(F.col("headers")).alias("headers"),
-        F.when(takes, F.col("ref.digest")).otherwise(F.col("digest")).alias("digest"),
+        F.when(F.col("merges"), F.col("ref.status")).otherwise(F.col("status")).alias("status"),
+        F.when(F.col("merges"), F.map_concat(stays, update)).otherwise(F.col("headers")).alias("headers"),
+        F.when(F.col("takes"), F.coalesce("ref.digest", "digest")).otherwise(F.col("digest")).alias("digest"),
     )
 
 
@@ -115,31 +134,104 @@ def with_payload(resolved: DataFrame, payloads: DataFrame) -> DataFrame:
     return resolved.drop("payload").withColumn("__of", own).join(p, F.col("__of") == F.col("__id"), "left").drop("__of", "__id")
 
 
-RECORD = "record_id string, url string, date string, type string, status int, headers map<string,string>, digest string, payload binary"
+RECORD = "record_id string, url string, date string, type string, status int, headers map<string,string>, digest string, profile string, truncated string, refers_to string, payload binary"
+RECORD_PA = pa.schema([*((c, pa.string()) for c in ("record_id", "url", "date", "type")), ("status", pa.int32()), ("headers", pa.map_(pa.string(), pa.string())), *((c, pa.string()) for c in ("digest", "profile", "truncated", "refers_to")), ("payload", pa.binary())])
+#: Bytes read from a file at once, and payload bytes in one batch of records (one record at least).
+CHUNK, BATCH = 1 << 20, 4 << 20
+#: How a gzip member starts.
+MEMBER = b"\x1f\x8b\x08"
 
 
-def parse(stream) -> Iterator[dict]:
-    """The records of an uncompressed WARC stream. A record of broken length ends the file."""
+class _Lines:
+    """A reader over an iterator of chunks that can push bytes back."""
+
+    def __init__(self, chunks: Iterator[bytes]):
+        self.chunks, self.held = chunks, b""
+
+    def _more(self) -> bool:
+        got = next(self.chunks, b"")
+        self.held += got
+        return bool(got)
+
+    def readline(self) -> bytes:
+        at = 0
+        while (end := self.held.find(b"\n", at)) < 0:
+            at = len(self.held)
+            if not self._more():
+                end = len(self.held) - 1
+                break
+        line, self.held = self.held[: end + 1], self.held[end + 1 :]
+        return line
+
+    def read(self, size: int) -> bytes:
+        parts, have = [self.held], len(self.held)
+        while have < size and (got := next(self.chunks, b"")):
+            parts.append(got)
+            have += len(got)
+        whole = b"".join(parts)
+        self.held = whole[size:]
+        return whole[:size]
+
+    def back(self, raw: bytes) -> None:
+        self.held = raw + self.held
+
+
+def parse(stream: _Lines) -> Iterator[dict]:
+    """The records of an uncompressed WARC stream.
+
+    After a record of broken length, or bytes that are no record, reading goes on at the next line
+    that starts with WARC/ followed by a digit; what is between is no record.
+    """
     while True:
         line = stream.readline()
-        while line in (b"\r\n", b"\n"):
+        while line and not (line.startswith(b"WARC/") and line[5:6].isdigit()):
             line = stream.readline()
-        if not line.startswith(b"WARC/"):
+        if not line:
             return
         head = _fields(stream)
         size = head.get("content-length", "")
         if not size.isdigit():
-            return
+            continue
         body = stream.read(int(size))
-        if len(body) < int(size):
-            return
+        after = stream.read(4)
+        if len(body) < int(size) or after.strip(b"\r\n"):
+            # the length doesn't fit: the next record may begin inside what was taken for this one's body
+            stream.back(body + after)
+            continue
         status, http, payload = None, {}, body
         if "application/http" in head.get("content-type", "") and body.startswith(b"HTTP/"):
             inner = io.BytesIO(body)
             first = inner.readline().split(None, 2)
             status = int(first[1]) if len(first) > 1 and first[1].isdigit() else None
             http, payload = _fields(inner), inner.read()
-        yield {"record_id": head.get("warc-record-id"), "url": head.get("warc-target-uri"), "date": head.get("warc-date"), "type": head.get("warc-type"), "status": status, "headers": http, "digest": head.get("warc-payload-digest"), "payload": payload}
+        names = {"record_id": "warc-record-id", "url": "warc-target-uri", "date": "warc-date", "type": "warc-type", "digest": "warc-payload-digest", "profile": "warc-profile", "truncated": "warc-truncated", "refers_to": "warc-refers-to"}
+        yield {k: head.get(v) for k, v in names.items()} | {"status": status, "headers": http, "payload": payload}
+
+
+def _plain(chunks: Iterator[bytes]) -> Iterator[bytes]:
+    """Chunks of a file, unpacked if it is gzip, member by member; a broken member ends where it breaks, and the next one is looked for."""
+    first = next(chunks, b"")
+    if first[:2] != b"\x1f\x8b":
+        if first:
+            yield first
+        yield from chunks
+        return
+    held, unpack = first, zlib.decompressobj(31)
+    while held or (held := next(chunks, b"")):
+        try:
+            out = unpack.decompress(held, CHUNK)
+            held = unpack.unconsumed_tail if not unpack.eof else unpack.unused_data
+        except zlib.error:
+            out, at = b"", held.find(MEMBER, 1)
+            while at < 0 and (more := next(chunks, b"")):
+                held = held[-2:] + more  # a member's start may be cut in two
+                at = held.find(MEMBER)
+            held, unpack = held[at:] if at >= 0 else b"", zlib.decompressobj(31)
+        else:
+            if unpack.eof:
+                unpack, held = zlib.decompressobj(31), held.lstrip(b"\0")
+        if out:
+            yield out
 
 
 def _fields(stream) -> dict[str, str]:
@@ -150,30 +242,34 @@ def _fields(stream) -> dict[str, str]:
     return out
 
 
+def _batches(chunks: Iterator[bytes]) -> Iterator[pa.RecordBatch]:
+    rows, size = [], 0
+    for r in parse(_Lines(_plain(chunks))):
+        rows.append(r | {"headers": list(r["headers"].items())})
+        size += len(r["payload"])
+        if size >= BATCH:
+            yield pa.RecordBatch.from_pylist(rows, schema=RECORD_PA)
+            rows, size = [], 0
+    if rows:
+        yield pa.RecordBatch.from_pylist(rows, schema=RECORD_PA)
+
+
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """Records of WARC files (.warc, .warc.gz), a task for each file; record_id is the WARC-Record-ID, null where a field lacks.
 
-    Empty files give no records; what follows a broken record in a file is left out.
+    A file comes to its task in chunks (Spark's binary reader splits none, and holds one file's bytes at a
+    time), is unpacked chunk by chunk, and leaves in batches: beside the packed file a task holds a
+    few MB, or one record. Empty files give no records; after a broken record reading goes on at
+    the next one. Files of over 2 GB are beyond Spark's reader: split them between records first.
     """
-    kind = pa.schema([*((c, pa.string()) for c in ("record_id", "url", "date", "type")), ("status", pa.int32()), ("headers", pa.map_(pa.string(), pa.string())), ("digest", pa.string()), ("payload", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for raw in b.column(0):
-                stream: io.BufferedIOBase = io.BytesIO(raw.as_py())
-                if stream.getbuffer()[:2] == b"\x1f\x8b":
-                    stream = io.BufferedReader(gzip.GzipFile(fileobj=stream))
-                rows, size = [], 0
-                for r in parse(stream):
-                    rows.append(r | {"headers": list(r["headers"].items())})
-                    size += len(r["payload"])
-                    if size > 8 << 20:
-                        yield pa.RecordBatch.from_pylist(rows, schema=kind)
-                        rows, size = [], 0
-                if rows:
-                    yield pa.RecordBatch.from_pylist(rows, schema=kind)
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, RECORD)
+                whole = raw.as_buffer()  # no copy
+                yield from _batches(whole.slice(at, min(CHUNK, whole.size - at)).to_pybytes() for at in range(0, whole.size, CHUNK))
+
+    return in_arrow(spark.read.format("binaryFile").load(path).select("content"), run, RECORD)
 
 
 def crawl_log(pages: DataFrame) -> DataFrame:
