@@ -3,8 +3,10 @@
 A suffix automaton of each language's sample recognises exactly the sample's substrings.
 Parsing greedily, each phrase is the longest match from where the last one ended; phrases
 times log2(sample length) over the document's length is its cross entropy under the language.
-The automata are tables, so that a batch's texts are parsed side by side in numpy. A text is
-parsed in blocks, and a phrase ends with its block, where it may be shorter than the longest match.
+The automata are tables, so that a batch's texts are parsed side by side in numpy, and a long
+text in blocks side by side: each block is parsed as if a phrase began there, then again from
+the state in which the block before it ends, as far as the two parses differ (a few letters,
+as a rule), until every block begins as the one before it ends. That is the whole text's parse.
 """
 
 from __future__ import annotations
@@ -18,14 +20,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import fold, table
+from ._common import fold, in_arrow, table
 
 #: Characters of sample text for each language, and of one excerpt.
 TRAIN_CHARS, EXCERPT = 24_000, 500
+#: Characters of sample text of all languages together: with many languages, each has less. The bound of what is
+#: broadcast: a sparse table has three entries of 16 bytes for each of them at most.
+TOTAL_CHARS = 1_500_000
 #: Entries of all automata's dense tables together; beyond that they are sparse, which is slower.
-DENSE = 1 << 25
-#: A text is parsed in blocks of so many normalised characters; a phrase ends with its block.
-BLOCK = 512
+DENSE = 1 << 24
+#: A text is parsed in blocks of so many normalised characters, and again from the right states so many times
+#: side by side; texts that still differ then (such as one syllable, thousands of times) are parsed letter by letter.
+BLOCK, AGAIN = 512, 6
 MAX_LANGUAGES = 256
 #: Characters that are parsed side by side (one text at least): a worker's memory grows with it.
 TOGETHER = 500_000
@@ -111,6 +117,88 @@ class Automaton:
         k = np.minimum(np.searchsorted(self.keys, at + c), len(self.keys) - 1)
         return np.where(self.keys[k] == at + c, self.to[k], self.root[c])
 
+    def whole(self, codes: np.ndarray) -> int:
+        """The phrases of one text, letter by letter."""
+        at = n = 0
+        if self.go is not None:
+            go = memoryview(self.go)
+            for c in codes.tolist():
+                v = go[at + c]
+                n += v & 3
+                at = v >> 2
+        else:
+            go, root = dict(zip(self.keys.tolist(), self.to.tolist(), strict=True)), self.root.tolist()
+            for c in codes.tolist():
+                v = go.get(at + c, root[c])
+                n += v & 3
+                at = v >> 2
+        return n + (at > 0)
+
+
+class Blocks:
+    """Texts in blocks, longest first, so that the blocks that go on are always a front part."""
+
+    def __init__(self, flat: np.ndarray, n: np.ndarray):
+        self.flat, self.n, self.begin = flat, n, np.cumsum(n) - n
+        blocks = -(-n // BLOCK)
+        text = np.repeat(np.arange(len(n)), blocks)
+        k = np.arange(len(text)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+        size = np.minimum(BLOCK, n[text] - k * BLOCK)
+        order = np.argsort(-size, kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        before = np.where(k > 0, place[np.maximum(np.arange(len(order)) - 1, 0)], -1)
+        self.text, self.size, self.before = text[order], size[order], before[order]
+        self.last = np.ones(len(order), bool)
+        self.last[before[before >= 0]] = False
+        start = self.begin[self.text] + k[order] * BLOCK
+        active = np.searchsorted(-self.size, -np.arange(1, self.size[0] + 1), side="right") if len(size) else []
+        padded = np.append(flat, np.zeros(BLOCK, flat.dtype))
+        self.columns = [padded[start[:a] + j].astype(np.int32) for j, a in enumerate(active)]
+
+    def phrases(self, x: Automaton) -> np.ndarray:
+        """Phrases of each text in x's greedy parse."""
+        end, total = np.zeros(len(self.size), x.root.dtype), np.zeros(len(self.size), np.int64)
+        states, ended = [], []
+        for c in self.columns:
+            v = x.step(end[: len(c)], c)
+            new = (v & 3).astype(np.uint8)
+            end[: len(c)] = to = v >> 2
+            total[: len(c)] += new
+            states.append(to)
+            ended.append(new)
+        entry = np.zeros_like(end)
+        wrong = lambda: np.flatnonzero((self.before >= 0) & (entry != end[self.before]))
+        lanes = wrong()
+        for _ in range(AGAIN):
+            if not len(lanes):
+                break
+            entry[lanes] = end[self.before[lanes]]
+            self._again(x, lanes, entry[lanes], states, ended, end, total)
+            lanes = wrong()
+        out = np.bincount(self.text, total + (self.last & (end > 0)), minlength=len(self.n)).astype(np.int64)
+        for t in np.unique(self.text[lanes]).tolist():
+            out[t] = x.whole(self.flat[self.begin[t] : self.begin[t] + self.n[t]])
+        return out
+
+    def _again(self, x: Automaton, lanes: np.ndarray, state: np.ndarray, states: list, ended: list, end: np.ndarray, total: np.ndarray) -> None:
+        """Parse some blocks from other states, each until it is in the state that it was in before after the same letter."""
+        left = np.arange(len(lanes))
+        met = np.zeros(len(lanes), bool)
+        for j, c in enumerate(self.columns):
+            left = left[self.size[lanes[left]] > j]
+            if not len(left):
+                break
+            at = lanes[left]
+            v = x.step(state[left], c[at])
+            new, to = (v & 3).astype(np.uint8), v >> 2
+            total[at] += new.astype(np.int64) - ended[j][at]
+            same = to == states[j][at]
+            ended[j][at], states[j][at], state[left] = new, to, to
+            met[left[same]] = True
+            left = left[~same]
+        end[lanes[~met]] = state[~met]
+
 
 class Model:
     def __init__(self, samples: dict[str, list[str]]):
@@ -135,27 +223,8 @@ class Model:
     def phrases(self, texts: list[str | None], code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(phrases by text and language, normalised lengths, letters)."""
         flat, n, letters = normalise(texts, code)
-        blocks = -(-n // BLOCK)
-        text = np.repeat(np.arange(len(n)), blocks)
-        k = np.arange(len(text)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-        start = np.repeat(np.cumsum(n) - n, blocks) + k * BLOCK
-        size = np.minimum(BLOCK, np.repeat(n, blocks) - k * BLOCK)
-        order = np.argsort(-size, kind="stable")
-        start, size, text = start[order], size[order], text[order]
-        out = np.zeros((len(n), len(self.langs)), np.int64)
-        if not len(size):
-            return out, n, letters
-        active = np.searchsorted(-size, -np.arange(1, size[0] + 1), side="right")
-        padded = np.append(flat, np.zeros(BLOCK, flat.dtype))
-        columns = [padded[start[:a] + j].astype(np.int32) for j, a in enumerate(active)]
-        for at, x in enumerate(self.automata):
-            state, count = np.zeros(len(size), x.root.dtype), np.zeros(len(size), np.int32)
-            for a, c in zip(active, columns, strict=True):
-                v = x.step(state[:a], c)
-                count[:a] += (v & 3).astype(np.int32)
-                state[:a] = v >> 2
-            out[:, at] = np.bincount(text, count + (state > 0), minlength=len(n)).astype(np.int64)
-        return out, n, letters
+        blocks = Blocks(flat, n)
+        return np.stack([blocks.phrases(x) for x in self.automata], axis=1), n, letters
 
     def predict(self, texts: list[str | None], code: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
         """(languages, scores, cross entropies in bits a character)."""
@@ -170,7 +239,7 @@ class Model:
 
 
 def fit(docs: DataFrame, train: object, train_chars: int = TRAIN_CHARS) -> Model:
-    """A model from at most train_chars characters for each language, in excerpts of 500.
+    """A model from at most train_chars characters for each language (TOTAL_CHARS for all), in excerpts of 500.
 
     train: the condition on rows to learn from. Rows with null text or lang are left out. Which
     rows are read, and where in the text an excerpt starts, goes by hashes, so at any size the
@@ -180,6 +249,7 @@ def fit(docs: DataFrame, train: object, train_chars: int = TRAIN_CHARS) -> Model
     counts = {r[0]: r[1] for r in rows.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()}
     if len(counts) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    train_chars = max(EXCERPT, min(train_chars, TOTAL_CHARS // max(1, len(counts))))
     need = -(-train_chars // EXCERPT)
     rate = F.lit(1.0)
     for lang, n in counts.items():
@@ -205,7 +275,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     sorts first; repeated rows each give a row; a null doc_id stays null. A model that saw no
     text calls everything `und`.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # MAX_LANGUAGES tables of a few MB at most
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # DENSE entries of 4 bytes, or TOTAL_CHARS in sparse tables, at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
@@ -224,7 +294,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, end - at), pa.array(lang, pa.string()), pa.array(score), pa.array(bits)], names=["doc_id", "lang_pred", "score", "bits"])
                 at = end
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, OUT)
+    return in_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, OUT)
 
 
 def with_language(docs: DataFrame, model: Model) -> DataFrame:
@@ -254,7 +324,7 @@ def with_language(docs: DataFrame, model: Model) -> DataFrame:
             cols = [pa.array([h if h is not None else x for h, x in zip(had, lang, strict=True)], pa.string()) if c == "lang" else b.column(c) for c in names]
             yield pa.RecordBatch.from_arrays(cols, names=names).filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_arrow(docs, run, docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,6 +35,41 @@ def test_cross_parsing_equals_longest_matches(text):
     assert counts[0].tolist() == [greedy(flat(text), flat("\n".join(SAMPLES[k]))) for k in m.langs]
 
 
+CHINESE, JAPANESE = "我们今天去学校学习中文然后回家吃饭，晚上看书写字。明天天气很好我们去公园散步", "私たちは今日学校へ行って日本語を勉強します。それから家に帰ってご飯を食べます"
+RUSSIAN, GREEK = "сегодня мы идём в школу учить русский язык а потом домой обедать и читать книги", "σήμερα πηγαίνουμε στο σχολείο για να μάθουμε ελληνικά και μετά γυρίζουμε στο σπίτι"
+
+
+@pytest.mark.parametrize("dense", [True, False])
+def test_cross_parsing_of_long_texts_equals_longest_matches(dense, monkeypatch):
+    import random
+
+    if not dense:
+        monkeypatch.setattr(language_id, "DENSE", 0)
+    samples = SAMPLES | {"zh": [CHINESE], "ja": [JAPANESE], "ru": [RUSSIAN], "el": [GREEK]}
+    m, rnd = language_id.Model(samples), random.Random(5)
+    assert (m.automata[0].go is not None) == dense
+    code = m.code()
+    parts = [s[0][a : a + k] for s in samples.values() for a, k in ((3, 9), (11, 5), (0, 30), (20, 2))]
+    texts = ["".join(rnd.choices(parts, k=k)) for k in (1, 300, 700, 250)] + ["the dog " * 700, "a" * 3000, samples["en"][0] * 40, "", None, "x" * 511 + " the", "Ω" * 513, " ".join(rnd.choices(["the", "lazy", "zzz"], k=900))]
+    counts, n, _ = m.phrases(texts, code)
+    flat = lambda t: "".join(map(chr, (language_id.normalise([t], code)[0] + 200).tolist()))
+    assert sum(n > 2000) >= 6
+    for i, t in enumerate(texts):
+        assert counts[i].tolist() == [greedy(flat(t), flat("\n".join(samples[k]))) for k in m.langs], i
+    said = m.predict([CHINESE, JAPANESE, RUSSIAN[5:40], GREEK[8:50], SAMPLES["de"][0][10:60]], code)[0]
+    assert said == ["zh", "ja", "ru", "el", "de"]
+
+
+def test_parses_that_never_meet_are_settled_letter_by_letter(monkeypatch):
+    """Phrases of three of one letter: blocks of 512 begin at other places in a phrase, and no parse meets another."""
+    calls = []
+    whole = language_id.Automaton.whole
+    monkeypatch.setattr(language_id.Automaton, "whole", lambda self, codes: calls.append(len(codes)) or whole(self, codes))
+    m = language_id.Model({"x": ["aaa b"]})
+    assert m.phrases(["a" * 20_000, "b a " * 3000], m.code())[0][:, 0].tolist() == [6667, greedy("b a " * 3000, "aaa b")]
+    assert calls == [20_000]
+
+
 @given(st.text(alphabet="theuickbrown fxßüdrscaжλ", min_size=1, max_size=200))
 @settings(max_examples=30, deadline=None)
 def test_sparse_tables_equal_dense_ones(text):
