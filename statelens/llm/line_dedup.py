@@ -11,6 +11,9 @@ from ._common import ascii_lower, delete, forget, new_path, save, shuffle_parts
 
 #: What is stripped at both ends of a line: space, tab, \n, VT, FF, CR.
 BLANKS = " \t\n\x0b\x0c\r"
+#: While runs are read: a scan of bucket files, one to a bucket, gives its rows in the order they were written in,
+#: and a union of runs keeps their buckets, so that the merged run again has one file to a bucket.
+SETTINGS = {"spark.sql.legacy.bucketedTableScan.outputOrdering": "true", "spark.sql.sources.bucketing.autoBucketedScan.enabled": "false"}
 
 
 def lines_of(text: Column) -> Column:
@@ -24,14 +27,36 @@ def line_key(line: Column) -> Column:
 class Runs:
     """Sorted runs on levels: a level that holds `fanout` runs is merged into one run of the next.
 
-    A run is a table bucketed and sorted by hash, (h1, h2, holder): joins read it without an
-    exchange, and writing the merged run again moves no row between buckets' files.
+    A run is a table bucketed and sorted by hash, (h1, h2, holder), one file for each bucket: joins read
+    it without an exchange and without a sort, and writing the merged run again moves no row
+    between buckets' files. Used in a with statement: at its end the runs' tables go, and
+    SETTINGS are what they were before.
     """
 
     def __init__(self, spark, fanout: int):
         self.spark, self.fanout, self.buckets = spark, fanout, shuffle_parts(spark)
         self.levels: list[list[tuple[str, str]]] = [[]]
-        self.kept: list[str] = []
+        self.batches: list[str] = []
+
+    def __enter__(self):
+        self.before = {k: self.spark.conf.get(k) for k in SETTINGS}
+        for k, v in SETTINGS.items():
+            self.spark.conf.set(k, v)
+        return self
+
+    def __exit__(self, *failure) -> None:
+        for k, v in self.before.items():
+            self.spark.conf.set(k, v)
+        for at, level in enumerate(self.levels):
+            for n, p in level:
+                self.spark.sql(f"DROP TABLE IF EXISTS {n}")
+                if at:
+                    delete(self.spark, p)
+
+    def forget(self) -> None:
+        """Delete the batches' own files, which tell which lines go."""
+        for p in self.batches:
+            delete(self.spark, p)
 
     def _write(self, df: DataFrame) -> tuple[str, str]:
         name, path = f"line_run_{uuid.uuid4().hex}", new_path(self.spark, "run")
@@ -46,6 +71,7 @@ class Runs:
         name, path = self._write(batch)
         out = self.spark.read.schema(batch.schema).parquet(path)
         self.levels[0].append((name, path))
+        self.batches.append(path)
         for at, level in enumerate(self.levels):
             if len(level) >= self.fanout:
                 merged = None
@@ -62,13 +88,6 @@ class Runs:
                 self.levels[at] = []
         return out
 
-    def close(self) -> None:
-        for at, level in enumerate(self.levels):
-            for n, p in level:
-                self.spark.sql(f"DROP TABLE IF EXISTS {n}")
-                if at:
-                    delete(self.spark, p)
-
 
 def dropped_lines(docs: DataFrame, min_chars: int = 10, batches: int = 4, fanout: int = 2) -> DataFrame:
     """(doc_id, tid, drops): the line numbers, from 0, that each document loses; tid is its text's hash.
@@ -86,20 +105,21 @@ def dropped_lines(docs: DataFrame, min_chars: int = 10, batches: int = 4, fanout
     line = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tid"), F.posexplode(lines_of(F.col("text"))).alias("pos", "line"))
     key = line.select("doc_id", "tid", "pos", line_key(F.col("line")).alias("key")).where(F.char_length("key") >= min_chars)
     lines = save(key.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"), "doc_id", "tid", "pos", part.alias("batch")), "lines", "batch")
-    runs, shared = Runs(spark, fanout), None
-    for b in range(len(set(cuts)) + 1):
-        own = lines.where(F.col("batch") == b).groupBy("h1", "h2").agg(F.min("doc_id").alias("holder"), F.max("doc_id").alias("last"))
-        held = F.lit(None).cast("long")
-        for k, run in enumerate(runs.all()):
-            own = own.join(run.withColumnRenamed("held", f"held{k}"), ["h1", "h2"], "left")
-            held = F.coalesce(held, F.col(f"held{k}"))
-        own = own.select("h1", "h2", F.coalesce(held, "holder").alias("holder"), (held.isNotNull() | (F.col("last") > F.col("holder"))).alias("shared"), held.isNull().alias("is_new"))
-        got = runs.add(own).where("shared").select("h1", "h2", "holder", F.lit(b).alias("batch"))
-        shared = got if shared is None else shared.unionByName(got)
-    runs.close()
+    shared = None
+    with Runs(spark, fanout) as runs:
+        for b in range(len(set(cuts)) + 1):
+            own = lines.where(F.col("batch") == b).groupBy("h1", "h2").agg(F.min("doc_id").alias("holder"), F.max("doc_id").alias("last"))
+            held = F.lit(None).cast("long")
+            for k, run in enumerate(runs.all()):
+                own = own.join(run.withColumnRenamed("held", f"held{k}"), ["h1", "h2"], "left")
+                held = F.coalesce(held, F.col(f"held{k}"))
+            own = own.select("h1", "h2", F.coalesce(held, "holder").alias("holder"), (held.isNotNull() | (F.col("last") > F.col("holder"))).alias("shared"), held.isNull().alias("is_new"))
+            got = runs.add(own).where("shared").select("h1", "h2", "holder", F.lit(b).alias("batch"))
+            shared = got if shared is None else shared.unionByName(got)
     found = lines.join(shared, ["batch", "h1", "h2"]).where("doc_id > holder")
     drops = save(found.groupBy("doc_id", "tid").agg(F.collect_set("pos").alias("drops")), "drops")
     forget(lines)
+    runs.forget()
     return drops
 
 
