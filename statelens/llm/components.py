@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import forget, save
+from ._common import forget, in_arrow, save
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -61,7 +61,7 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """
     x, y = links.columns[:2]
     e = links.select(F.col(x).cast("long").alias("u"), F.col(y).cast("long").alias("v")).where("u is not null and v is not null and u <> v")
-    e = save(e.mapInArrow(_local, "u long, v long"), "cc")
+    e = save(in_arrow(e, _local, "u long, v long"), "cc")
     before = None
     for _ in range(most_rounds):
         # each side of a join is a written table, so Spark can split the partition of a node that very many link to

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._common import forget, longs, save, sorted_groups, table
+from ._common import forget, in_arrow, longs, save, sorted_groups, table
 from .components import components, forest
 
 THRESHOLD = 0.95
@@ -165,7 +165,7 @@ def _merge(entries: DataFrame, threshold: float, k: int, k_most: int) -> DataFra
 def _start(nodes: DataFrame, tables: list[int], bits: int, threshold: float, k: int) -> DataFrame:
     """What the hyperplane tables' blocks show: list entries and links. A block of over PART nodes is dealt
     into parts of about as many, and every pair of parts is compared, so all of a block's pairs are."""
-    keyed = save(nodes.mapInArrow(_keys(bits, tables), nodes.schema.simpleString().removeprefix("struct<").removesuffix(">") + ",keys:array<bigint>"), "keys")
+    keyed = save(in_arrow(nodes, _keys(bits, tables), nodes.schema.simpleString().removeprefix("struct<").removesuffix(">") + ",keys:array<bigint>"), "keys")
     rows = keyed.select("node", "e", "d", F.posexplode("keys").alias("t", "key")).withColumn("t", F.col("t").cast("long"))
     large = save(rows.groupBy("t", "key", "d").count().where(F.col("count") > PART).select("t", "key", "d", F.ceil(F.col("count") / PART).cast("long").alias("nb")), "large")
     rows = rows.join(F.broadcast(large) if large.count() <= 100_000 else large, ["t", "key", "d"], "left")
@@ -174,7 +174,7 @@ def _start(nodes: DataFrame, tables: list[int], bits: int, threshold: float, k:
     rows = rows.withColumn("with", F.explode(F.sequence(one - 1, F.col("nb") - 1)))
     rows = rows.withColumn("bi", F.least("sub", "with")).withColumn("bj", F.greatest("sub", "with")).withColumn("side", (F.col("sub") > F.col("with")).cast("long"))
     by = ["t", "key", "d", "bi", "bj"]
-    out = save(rows.select(*by, "side", "node", "e").repartition(*by).sortWithinPartitions(*by).mapInArrow(_blocks(threshold, k), FOUND), "found")
+    out = save(in_arrow(rows.select(*by, "side", "node", "e").repartition(*by).sortWithinPartitions(*by), _blocks(threshold, k), FOUND), "found")
     forget(keyed)
     forget(large)
     return out
@@ -191,7 +191,7 @@ def _round(nodes: DataFrame, lists: DataFrame, threshold: float, k: int) -> Data
     back = back.where(F.col("rank") <= F.greatest(F.lit(k), F.coalesce("size", F.lit(k)))).select("mid", "node", "fresh")
     both = forward.unionByName(back).groupBy("mid", "node").agg(F.max("fresh").alias("fresh"))
     x = both.join(nodes.select("node", "e"), "node")
-    return save(x.select("mid", "node", "fresh", "e").repartition("mid").sortWithinPartitions("mid").mapInArrow(_local_join(threshold, OFFER), FOUND), "found")
+    return save(in_arrow(x.select("mid", "node", "fresh", "e").repartition("mid").sortWithinPartitions("mid"), _local_join(threshold, OFFER), FOUND), "found")
 
 
 def _labelled(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -237,7 +237,7 @@ def _against(labelled: DataFrame, drawn: pa.Table, threshold: float) -> DataFram
         cols = [(pa.array(some), none), (zero, pa.array(u)), (zero, pa.array(v)), (pa.array(total[some]), none), (pa.array(same[some]), none)]
         yield pa.RecordBatch.from_arrays([pa.concat_arrays([x, y]) for x, y in cols], names=["place", "node", "nbr", "total", "same"])
 
-    return save(labelled.select("node", "d", "e", "component").mapInArrow(run, "place long, node long, nbr long, total long, same long"), "audit")
+    return save(in_arrow(labelled.select("node", "d", "e", "component"), run, "place long, node long, nbr long, total long, same long"), "audit")
 
 
 def _audit(labelled: DataFrame, threshold: float, turn: int, most: int, whole: bool = False) -> tuple[dict, DataFrame | None]:
@@ -316,7 +316,7 @@ def _count_links(linked: DataFrame, threshold: float, block: int = BLOCK) -> Dat
     kind = linked.schema["e"].dataType.simpleString()
     pivots = linked.where("node = component").groupBy("component").agg(F.first("e").alias("pivot"))
     x = linked.join(save(pivots, "pivots"), "component").select("component", "node", "n", "e", "pivot")
-    x = save(x.mapInArrow(_angles, f"component long, node long, n long, e {kind}, angle double"), "angles")
+    x = save(in_arrow(x, _angles, f"component long, node long, n long, e {kind}, angle double"), "angles")
     near = F.col("angle") <= half
     sums = save(x.groupBy("component").agg(F.sum(F.when(near, F.col("n"))).alias("near_mass"), F.count(F.when(~near, 1)).alias("far"), F.count("*").alias("all")), "sums")
     y = x.join(sums, "component").withColumn("is_near", near.cast("long"))
@@ -326,7 +326,7 @@ def _count_links(linked: DataFrame, threshold: float, block: int = BLOCK) -> Dat
     left = y.where(~near).select("component", F.pmod(salt, F.col("lbs")).alias("lb"), F.explode(F.sequence(one - 1, F.col("rbs") - 1)).alias("rb"), "node", "n", one.alias("is_left"), "is_near", "e")
     right = y.select("component", F.explode(F.sequence(one - 1, F.col("lbs") - 1)).alias("lb"), F.pmod(salt, F.col("rbs")).alias("rb"), "node", "n", (one - 1).alias("is_left"), "is_near", "e")
     by = ["component", "lb", "rb"]
-    pairs = left.unionByName(right).repartition(*by).sortWithinPartitions(*by).mapInArrow(_pairs(threshold), "node long, mass long")
+    pairs = in_arrow(left.unionByName(right).repartition(*by).sortWithinPartitions(*by), _pairs(threshold), "node long, mass long")
     return base.unionByName(pairs).groupBy("node").agg(F.sum("mass").alias("mass"))
 
 

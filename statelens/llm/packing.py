@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._common import forget, save, shuffle_parts, table
+from ._common import forget, in_arrow, save, shuffle_parts, table
 
 SIZE = 1024
 TOKENIZER = "byte_bpe_50k"
@@ -37,13 +37,14 @@ def tokenizer(name: str):
     import tiktoken
     from tokenizers import Tokenizer
 
-    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(files.path(f"{name}.tiktoken"), "rb"))}
+    with open(files.path(f"{name}.tiktoken"), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     fast = tiktoken.Encoding(name, pat_str=files.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    whole = Tokenizer.from_file(files.path(f"{name}.json"))
+    whole = lru_cache(1)(lambda: Tokenizer.from_file(files.path(f"{name}.json")))  # some 30 MB, which most workers never need
 
     def ids(text: str) -> np.ndarray:
         if "<|" in text:
-            return np.array(whole.encode(text, add_special_tokens=False).ids, np.uint32)
+            return np.array(whole().encode(text, add_special_tokens=False).ids, np.uint32)
         return np.array(fast.encode_ordinary(text), np.uint32)
 
     return ids
@@ -88,7 +89,7 @@ def pieces(docs: DataFrame, size: int = SIZE, tokenizer_name: str = TOKENIZER, w
                 yield out()
 
     x = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return x.mapInArrow(run, PIECE + (", ids array<int>" if with_ids else ""))
+    return in_arrow(x, run, PIECE + (", ids array<int>" if with_ids else ""))
 
 
 def patterns(histogram: dict[int, int], size: int = SIZE) -> list[tuple[list[int], int]]:
@@ -179,7 +180,7 @@ def pack(docs: DataFrame, size: int = SIZE, tokenizer_name: str = TOKENIZER, wit
 
     extra, kind = (["ids"], ", ids array<int>") if with_ids else ([], "")
     out = ranked.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", *extra, "rank")
-    return out.mapInArrow(run, f"doc_id long, start long, length int, ids_crc32 long, doc_tokens long{kind}, sequence_id long, offset long")
+    return in_arrow(out, run, f"doc_id long, start long, length int, ids_crc32 long, doc_tokens long{kind}, sequence_id long, offset long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import fold, table
+from ._common import fold, in_arrow, table
 
 #: Labelled rows learned from, at most, and preference pairs drawn from them.
 TRAIN_ROWS, PAIRS = 20_000, 200_000
@@ -133,7 +133,7 @@ def _featured(x: DataFrame) -> DataFrame:
             got = [features(t.as_py()) for t in b.column(2)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(got, pa.list_(pa.float64()))], names=["doc_id", "quality", "x"])
 
-    return x.mapInArrow(run, "doc_id long, quality int, x array<double>")
+    return in_arrow(x, run, "doc_id long, quality int, x array<double>")
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -149,7 +149,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 s = model.score(np.array([features(t.as_py()) for t in b.column(1)]))
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s), pa.array((s >= ACCEPT).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double, predicted int")
+    return in_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, "doc_id long, score double, predicted int")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import save, sorted_groups, table
+from ._common import in_arrow, save, sorted_groups, table
 from .components import components, forest
 
 RADIUS, SHINGLE = 4, 4
@@ -64,7 +64,7 @@ def fingerprints(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
             fp = np.fromiter((signed(fingerprint(t, k)) for t in b.column(1).to_pylist()), np.int64, b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], names=["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return in_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text")), run, "doc_id long, fp long")
 
 
 def _near(radius: int):
@@ -125,7 +125,7 @@ def near_links(classes: DataFrame, radius: int = RADIUS, group: int = GROUP) ->
     else:
         rows = rows.select("t", "key", F.lit(0).cast("long").alias("bi"), F.lit(0).cast("long").alias("bj"), "fp", "node")
     by = ["t", "key", "bi", "bj"]
-    return rows.repartition(*by).sortWithinPartitions(*by).mapInArrow(_near(radius), "u long, v long")
+    return in_arrow(rows.repartition(*by).sortWithinPartitions(*by), _near(radius), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, k: int = SHINGLE) -> DataFrame:
@@ -146,9 +146,12 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, k: int = SHINGLE) ->
 
 
 def first_of_groups(docs: DataFrame, radius: int = RADIUS, k: int = SHINGLE) -> DataFrame:
-    """docs with one row for each component: its smallest doc_id's. Of rows of that doc_id one stays; rows of null doc_id stay."""
+    """docs with one row for each component: its smallest doc_id's. Of several rows of that doc_id one stays,
+    whatever their order: one of null text, else the one of the smallest hash. Rows of null doc_id stay."""
     first = near_duplicates(docs, radius, k).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.where("doc_id is not null").join(save(first, "first"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    kept = docs.where("doc_id is not null").join(save(first, "first"), "doc_id", "left_semi")
+    rank = F.struct(F.col("text").isNotNull(), F.sha2("text", 256), F.xxhash64(*[c for c, kind in docs.dtypes if "map<" not in kind]))
+    kept = kept.groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), rank).alias("row")).select("row.*")
     return kept.unionByName(docs.where("doc_id is null")).select(*docs.columns)
 
 
