@@ -1,11 +1,12 @@
 """Embedding near-dedup by NN-descent on the cosine.
 
-Equal vectors are one node. Random-hyperplane blocks start every node's neighbour list; then
-each round joins every node's neighbours, and the nodes that list it, with each other, so
-neighbours of neighbours meet and lists improve. A list full of links (cosine >= threshold)
-doubles. Lists beyond K_MOST lose nothing: links found also go into a forest, the forest
-gives components, and a last pass counts every link inside each component exactly. An audit of
-drawn nodes against all rows bounds the recall node by node; while it is short, more blocks and rounds follow,
+Equal vectors are one node. A few tables of random-hyperplane blocks start every node's neighbour
+list; then each round joins every node's neighbours, and the nodes that list it, with each other,
+so neighbours of neighbours meet and lists improve. A list full of links (cosine >= threshold)
+doubles. Links are the lists' entries at the threshold or above, and the pairs at the threshold
+that a join meets; blocks give no links of their own. Lists beyond K_MOST lose nothing: links go into a
+forest, the forest gives components, and a last pass counts every link inside each component exactly. An audit of
+drawn nodes against all rows bounds the recall node by node; while it is short, more tables and rounds follow,
 and once they join no more components all nodes are compared exactly.
 """
 
@@ -26,15 +27,15 @@ from .components import components, forest
 
 THRESHOLD = 0.95
 #: Hyperplane tables of a pass, nodes in a block that is aimed at, and nodes in a block when links are counted.
-TABLES, LEAF, BLOCK = 8, 200, 1024
+TABLES, LEAF, BLOCK = 4, 200, 1024
 #: Nodes above which a hyperplane block is compared in pairs of parts: larger parts mean fewer copies of each row.
 PART = 4096
 #: Entries of a neighbour list: at first, and where doubling ends.
 K, K_MOST = 6, 48
 #: Others that a local join offers to each of its members.
 OFFER = 3
-#: Rounds of a pass, nodes with links audited of each kind, recall to reach.
-ROUNDS, AUDIT, RECALL = 2, 400, 0.98
+#: Rounds of a pass at most (it ends when a round improves less than SETTLED of the lists), nodes with links audited of each kind, recall to reach.
+ROUNDS, SETTLED, AUDIT, RECALL = 4, 0.01, 400, 0.98
 #: Nodes of a component above which it is audited apart, and nodes compared with all rows at once.
 LARGE, DRAW = 1000, 8192
 
@@ -97,11 +98,11 @@ def _rows(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], links: list[tu
     )
 
 
-def _blocks(threshold: float, k: int):
+def _blocks(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, starts in sorted_groups(batches, ["t", "key", "d", "bi", "bj"]):
             node, side, col = longs(t["node"]), longs(t["side"]), t["e"].combine_chunks()
-            parts, links = [], []
+            parts = []
             for a, b in zip(starts.tolist(), [*starts.tolist()[1:], len(node)], strict=True):
                 if b - a < 2:
                     continue
@@ -114,13 +115,11 @@ def _blocks(threshold: float, k: int):
                     for some in np.array_split(at, -(-len(at) // 128)) if len(at) else []:
                         s = x[some] @ x[to].T
                         s[some[:, None] == to] = -2
-                        i, j = np.nonzero((s >= threshold) & (own[some][:, None] < own[to]))
-                        links.append(forest(own[some[i]], own[to[j]]))
                         top = _top(s, k)
                         sim = np.take_along_axis(s, top, 1)
                         ok = sim > -2
                         parts.append((np.broadcast_to(own[some][:, None], top.shape)[ok], own[to][top][ok], sim[ok]))
-            yield _rows(parts, links)
+            yield _rows(parts, [])
 
     return run
 
@@ -153,8 +152,10 @@ def _local_join(threshold: float, offer: int):
 
 def _merge(entries: DataFrame, threshold: float, k: int, k_most: int) -> DataFrame:
     """Lists (node, nbrs: sim, nbr, fresh) of the best k entries of each node; a list full of links doubles, up to k_most."""
-    one = entries.repartition("node").groupBy("node", "nbr").agg(F.max("sim").alias("sim"), F.min("fresh").alias("fresh"))
-    lists = one.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("sim", "nbr", "fresh")), asc=False).alias("all"))
+    one = entries.groupBy("node", "nbr").agg(F.max("sim").alias("sim"), F.min("fresh").alias("fresh"))
+    # a hub that very many name: each task keeps its best k_most before the exchange
+    rank = F.row_number().over(Window.partitionBy("node").orderBy(F.col("sim").desc(), F.col("nbr").desc()))
+    lists = one.withColumn("rank", rank).where(F.col("rank") <= k_most).groupBy("node").agg(F.sort_array(F.collect_list(F.struct("sim", "nbr", "fresh")), asc=False).alias("all"))
     size, step = F.lit(k), k
     while step < k_most:
         size = F.when((size == step) & (F.get("all", F.lit(step - 1))["sim"] >= threshold), F.lit(min(2 * step, k_most))).otherwise(size)
@@ -162,9 +163,9 @@ def _merge(entries: DataFrame, threshold: float, k: int, k_most: int) -> DataFra
     return lists.select("node", F.slice("all", F.lit(1), size).alias("nbrs"))
 
 
-def _start(nodes: DataFrame, tables: list[int], bits: int, threshold: float, k: int) -> DataFrame:
-    """What the hyperplane tables' blocks show: list entries and links. A block of over PART nodes is dealt
-    into parts of about as many, and every pair of parts is compared, so all of a block's pairs are."""
+def _start(nodes: DataFrame, tables: list[int], bits: int, k: int) -> DataFrame:
+    """Each node's best k of its block in each hyperplane table, as list entries. A block of over PART nodes is
+    dealt into parts of about as many, and every pair of parts is compared, so all of a block's pairs are."""
     keyed = save(in_arrow(nodes, _keys(bits, tables), nodes.schema.simpleString().removeprefix("struct<").removesuffix(">") + ",keys:array<bigint>"), "keys")
     rows = keyed.select("node", "e", "d", F.posexplode("keys").alias("t", "key")).withColumn("t", F.col("t").cast("long"))
     large = save(rows.groupBy("t", "key", "d").count().where(F.col("count") > PART).select("t", "key", "d", F.ceil(F.col("count") / PART).cast("long").alias("nb")), "large")
@@ -174,7 +175,7 @@ def _start(nodes: DataFrame, tables: list[int], bits: int, threshold: float, k:
     rows = rows.withColumn("with", F.explode(F.sequence(one - 1, F.col("nb") - 1)))
     rows = rows.withColumn("bi", F.least("sub", "with")).withColumn("bj", F.greatest("sub", "with")).withColumn("side", (F.col("sub") > F.col("with")).cast("long"))
     by = ["t", "key", "d", "bi", "bj"]
-    out = save(in_arrow(rows.select(*by, "side", "node", "e").repartition(*by).sortWithinPartitions(*by), _blocks(threshold, k), FOUND), "found")
+    out = save(in_arrow(rows.select(*by, "side", "node", "e").repartition(*by).sortWithinPartitions(*by), _blocks(k), FOUND), "found")
     forget(keyed)
     forget(large)
     return out
@@ -340,7 +341,9 @@ def near_vectors(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec
     null id neither links nor has a component. Rows of one id but different vectors are one node
     of the graph, to which the links of each count. Empty tables give no rows; other columns are ignored.
     report, if given, receives the last audit: recall (what _audit bounds), audited_nodes with a link among
-    drawn_nodes, their links, those found before links the audit met were added, the passes and rounds made, and exact: whether
+    drawn_nodes, their links, those found before links the audit met were added, the passes and rounds made, by_round (the
+    share of all directed links that the lists' and joins' components hold after the start and after each round, against an audit
+    of their own, which costs time), and exact: whether
     all nodes were compared at last because a pass joined no more components below the recall to reach. Where
     hardly any node has a link, audit and exact comparison cost the square of the nodes.
     """
@@ -355,20 +358,34 @@ def near_vectors(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec
     bits = min(62, max(0, ceil(log2(max(1, total) / LEAF))))
     entries, links, labelled = None, None, None
     rounds, turn, parts = 0, 0, nodes.select("node").distinct().count()
+    in_lists = lambda fresh: lists.select("node", F.explode("nbrs").alias("x")).select("node", "x.nbr", "x.sim", fresh.alias("fresh"))
+    at_threshold = lambda: in_lists(F.lit(False)).where(F.col("sim") >= threshold).select("node", "nbr")
+    by_round: list[float] = []
+
+    def audit_round() -> None:
+        if report is not None:
+            seen = _audit(_labelled(nodes, at_threshold() if links is None else links.unionByName(at_threshold())), threshold, 1000 + rounds, AUDIT)[0]
+            by_round.append(seen["found_links"] / max(1, seen["audited_links"]))
+
     while True:
-        got = _start(nodes, list(range(turn * tables, (turn + 1) * tables)), bits, threshold, k)
-        rows = got.where("not link").select("node", "nbr", "sim", F.lit(True).alias("fresh"))
+        got = _start(nodes, list(range(turn * tables, (turn + 1) * tables)), bits, k)
+        rows = got.select("node", "nbr", "sim", F.lit(True).alias("fresh"))
         entries = rows if entries is None else entries.unionByName(rows)
-        links = got.where("link").select("node", "nbr") if links is None else links.unionByName(got.where("link").select("node", "nbr"))
         lists = save(_merge(entries, threshold, k, K_MOST), "lists")
+        audit_round()
         for _ in range(ROUNDS):
             got = _round(nodes, lists, threshold, k)
             rounds += 1
-            links = links.unionByName(got.where("link").select("node", "nbr"))
-            old = lists.select("node", F.explode("nbrs").alias("x")).select("node", "x.nbr", "x.sim", F.lit(False).alias("fresh"))
-            entries = old.unionByName(got.where("not link").select("node", "nbr", "sim", F.lit(True).alias("fresh")))
+            met = got.where("link").select("node", "nbr")
+            links = met if links is None else links.unionByName(met)
+            entries = in_lists(F.lit(False)).unionByName(got.where("not link").select("node", "nbr", "sim", F.lit(True).alias("fresh")))
             lists = save(_merge(entries, threshold, k, K_MOST), "lists")
-        entries = lists.select("node", F.explode("nbrs").alias("x")).select("node", "x.nbr", "x.sim", F.lit(False).alias("fresh"))
+            audit_round()
+            improved = lists.where(F.exists("nbrs", lambda x: x["fresh"])).count()
+            if improved <= SETTLED * total:
+                break
+        entries = in_lists(F.lit(False))
+        links = links.unionByName(at_threshold())
         labelled = _labelled(nodes, links)
         audit, met = _audit(labelled, threshold, turn, AUDIT)
         turn += 1
@@ -380,7 +397,7 @@ def near_vectors(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec
             break
     if met is not None:
         labelled = _labelled(nodes, links.unionByName(met))
-    audit.update(exact=exact, passes=turn, rounds=rounds, nodes=total)
+    audit.update(exact=exact, passes=turn, rounds=rounds, nodes=total, by_round=by_round)
     logging.getLogger(__name__).info("near_vectors: %s", audit)
     if report is not None:
         report.update(audit)
