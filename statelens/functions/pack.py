@@ -10,7 +10,7 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DoubleType, FloatType
@@ -56,26 +56,51 @@ def pack_native(a: Column, n: int, boolean: bool = False) -> Column:
     return F.when(a.isNotNull(), F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit((n + 7) // 8 - 1)), byte), "")))
 
 
-def packed_rows(x: np.ndarray) -> list[bytes]:
-    """Rows of floats or booleans (states, neurons) as packed bytes."""
-    return [r.tobytes() for r in np.packbits(x > 0, axis=1, bitorder="little")]
+def packed_array(on: np.ndarray) -> pa.Array:
+    """Rows of booleans as an Arrow array of packed keys, without an object for each."""
+    bits = np.packbits(on, axis=1, bitorder="little")
+    ends = np.arange(len(bits) + 1, dtype=np.int32) * np.int32(bits.shape[1])
+    return pa.Array.from_buffers(pa.binary(), len(bits), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(bits))])
+
+
+def rows_of(a: pa.Array, n: int | None = None) -> np.ndarray:
+    """An Arrow list column without null rows as a matrix of floats, over its flat values; a null value is NaN. Rows of several widths, or not n, are an error."""
+    size = np.diff(a.offsets.to_numpy())
+    if len(size) and (size != (size[0] if n is None else n)).any():
+        raise ValueError(f"expected {size[0] if n is None else n} values, got {sorted(set(size.tolist()))}")
+    return a.flatten().to_numpy(zero_copy_only=False).astype(np.float32, copy=False).reshape(len(a), int(size[0]) if len(size) else 0)
+
+
+def _filled(keys: pa.Array, there: pa.Array) -> pa.Array:
+    """keys at the places that are there, null at the others."""
+    if len(keys) == len(there):
+        return keys
+    at = np.cumsum(there.to_numpy(zero_copy_only=False)) - 1
+    return keys.take(pa.array(at, mask=~there.to_numpy(zero_copy_only=False)))
 
 
 def pack_arrow(n: int):
-    """BINARY keys in Arrow batches by numpy: the fast way for hundreds of neurons and more."""
-
-    @F.pandas_udf("binary")
-    def pack(a: pd.Series) -> pd.Series:
-        out = pd.Series([None] * len(a), dtype=object)
-        at = [k for k, v in enumerate(a) if v is not None]
-        for lo in range(0, len(at), 1024):
-            some = at[lo : lo + 1024]
-            rows = [np.asarray(a.iloc[k], dtype=np.float32) for k in some]
-            if any(len(r) != n for r in rows):
-                raise ValueError(f"expected {n} neurons, got {sorted({len(r) for r in rows})}")
-            for k, b in zip(some, packed_rows(np.stack(rows)), strict=True):
-                out[k] = b
-        return out
+    """BINARY keys in Arrow batches by numpy, over a batch's flat values: the fast way for hundreds of neurons and more."""
+
+    @F.arrow_udf("binary")
+    def pack(a: pa.Array) -> pa.Array:
+        there = a.is_valid()
+        return _filled(packed_array(rows_of(a.filter(there), n) > 0), there)
+
+    return pack
+
+
+def pack_tensors(n: int, positions: int, channel_axis: int):
+    """An ARRAY<BINARY> of a key for each position, from flattened tensors of n channels (first or last) by positions."""
+
+    @F.arrow_udf("array<binary>")
+    def pack(a: pa.Array) -> pa.Array:
+        there = a.is_valid()
+        x = rows_of(a.filter(there), n * positions) > 0
+        x = x.reshape(-1, n, positions).transpose(0, 2, 1) if channel_axis == 1 else x.reshape(-1, positions, n)
+        keys = packed_array(x.reshape(-1, n))
+        rows = pa.ListArray.from_arrays(pa.array(np.arange(x.shape[0] + 1, dtype=np.int32) * positions), keys)
+        return _filled(rows, there)
 
     return pack
 
@@ -108,13 +133,26 @@ def sort_key(key: Column, binary: bool = False) -> Column:
 def register(spark: SparkSession) -> None:
     """SQL functions pack_state(array<float>) -> binary and unpack_state(binary, n) -> array<boolean>."""
 
-    @F.pandas_udf("binary")
-    def pack(a: pd.Series) -> pd.Series:
-        return a.map(lambda v: None if v is None else packed_rows(np.asarray(v, dtype=np.float32)[None, :])[0])
-
-    @F.pandas_udf("array<boolean>")
-    def unpack(k: pd.Series, n: pd.Series) -> pd.Series:
-        return pd.Series([None if b is None else np.unpackbits(np.frombuffer(b, np.uint8), bitorder="little")[:m].astype(bool) for b, m in zip(k, n, strict=True)])
+    @F.arrow_udf("binary")
+    def pack(a: pa.Array) -> pa.Array:
+        there = a.is_valid()
+        x = a.filter(there)
+        size = np.diff(x.offsets.to_numpy())
+        if len(size) and (size == size[0]).all():
+            return _filled(packed_array(rows_of(x) > 0), there)
+        # rows of several widths: a neuron's bit has its place in its row's bytes
+        wide = (size + 7) // 8
+        on = np.flatnonzero(x.flatten().to_numpy(zero_copy_only=False).astype(np.float32) > 0)
+        row = np.searchsorted(np.cumsum(size), on, side="right")
+        bit = on - (np.cumsum(size) - size)[row] + 8 * (np.cumsum(wide) - wide)[row]
+        flat = np.zeros(8 * int(wide.sum()), bool)
+        flat[bit] = True
+        ends = np.append(0, np.cumsum(wide)).astype(np.int32)
+        return _filled(pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends), pa.py_buffer(np.packbits(flat, bitorder="little"))]), there)
+
+    @F.arrow_udf("array<boolean>")
+    def unpack(k: pa.Array, n: pa.Array) -> pa.Array:
+        return pa.array([None if b is None or m is None else np.unpackbits(np.frombuffer(b, np.uint8), bitorder="little")[:m].astype(bool) for b, m in zip(k.to_pylist(), n.to_pylist(), strict=True)], pa.list_(pa.bool_()))
 
     spark.udf.register("pack_state", pack)
     spark.udf.register("unpack_state", unpack)

@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.pack import BIGINT_NEURONS, activations, fires, pack_bigint, pack_state, packed_rows
+from ..functions.pack import BIGINT_NEURONS, activations, fires, pack_bigint, pack_state, pack_tensors, packed_array, rows_of
+from ..plans.schemas import LAYERS
 
 #: Where a probe sits, by method, and what its name ends with.
 POINTS = {"before": ("_pre_states",), "after": ("_post_states",), "both": ("_pre_states", "_post_states")}
@@ -37,9 +38,30 @@ def capture_states(df: DataFrame, n_neurons: int, positions: int = 1, channel_ax
     if kind == "bigint":
         state = F.when(ok.cast("boolean"), pack_bigint([fires(F.get("__a", at(c)), boolean) for c in range(n_neurons)]))
         return rows.select(*keep, "position", state.alias("state"))
-    part = F.when(ok.cast("boolean"), F.transform(F.sequence(F.lit(0), F.lit(n_neurons - 1)), lambda c: F.get("__a", c * positions + F.col("position") if channel_axis == 1 else F.col("position") * n_neurons + c)))
-    rows = rows.select(*keep, "position", part.alias("__a"))
-    return rows.select(*keep, "position", pack_state(rows, "__a", n_neurons, kind).alias("state"))
+    if kind == "binary":
+        part = F.when(ok.cast("boolean"), F.transform(F.sequence(F.lit(0), F.lit(n_neurons - 1)), lambda c: F.get("__a", c * positions + F.col("position") if channel_axis == 1 else F.col("position") * n_neurons + c)))
+        rows = rows.select(*keep, "position", part.alias("__a"))
+        return rows.select(*keep, "position", pack_state(rows, "__a", n_neurons, kind).alias("state"))
+    # wide: a batch of tensors is turned and packed at once, and the keys are exploded, not the tensors
+    keys = pack_tensors(n_neurons, positions, channel_axis)(a.cast("array<float>") if boolean else a)
+    none = F.array(*[F.lit(None).cast("binary")] * positions)
+    return df.select(*keep, F.posexplode(F.coalesce(keys, none)).alias("position", "state"))
+
+
+def capture_enabled(activations: DataFrame, layers: DataFrame) -> DataFrame:
+    """Rows of activations (layer, ...) whose layer's capture_on is true in the catalog; a layer that it lacks is not captured."""
+    on = layers.where("capture_on").select("layer").distinct()
+    return activations.join(on, "layer", "left_semi").select(*activations.columns)
+
+
+def register_model(rows: list[tuple[str, str, int, list[int]]], model_id: str, spark: SparkSession, channel_axis: int = 1, capture_on: bool = True) -> DataFrame:
+    """The catalog of a model: (layer, class, neurons, shape) in order. A layer named twice, or of no neurons, is a ValueError."""
+    names = [r[0] for r in rows]
+    if len(set(names)) < len(names):
+        raise ValueError("a layer's name stands for one layer")
+    if any(r[2] < 1 for r in rows):
+        raise ValueError("a layer has one neuron at least")
+    return spark.createDataFrame([(model_id, name, kind, k, n, list(shape), channel_axis, capture_on) for k, (name, kind, n, shape) in enumerate(rows)], LAYERS)
 
 
 def slice_layers(df: DataFrame, layers: dict[str, tuple[int, int]], column: str, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -53,20 +75,23 @@ def run_network(df: DataFrame, forward: Callable[[np.ndarray], dict[str, np.ndar
     """(instance_id, layer, position, state BINARY) of a network run over df.
 
     forward gets a batch of rows as a matrix and returns each layer's activations, channels last
-    (rows, ..., neurons). States are packed in the worker that ran the network.
+    (rows, ..., neurons). States are packed in the worker that ran the network. A row of a null array has
+    no activations and is left out; a null value in an array is NaN to the network; a null id stays null.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if not len(b):
+            b = b.filter(b.column(1).is_valid())
+            if not b.num_rows:
                 continue
-            ids = b[id_column].to_numpy()
-            for layer, out in forward(np.stack(b[column].to_list())).items():
+            for layer, out in forward(rows_of(b.column(1))).items():
                 n = out.shape[-1]
-                places = out.reshape(len(ids), -1, n).shape[1]
-                yield pd.DataFrame({"instance_id": np.repeat(ids, places), "layer": layer, "position": np.tile(np.arange(places, dtype=np.int32), len(ids)), "state": packed_rows(out.reshape(-1, n))})
+                places = out.reshape(b.num_rows, -1, n).shape[1]
+                ids = b.column(0).take(pa.array(np.repeat(np.arange(b.num_rows), places)))
+                at = pa.array(np.tile(np.arange(places, dtype=np.int32), b.num_rows))
+                yield pa.RecordBatch.from_arrays([ids, pa.array([layer] * len(ids), pa.string()), at, packed_array(out.reshape(-1, n) > 0)], names=["instance_id", "layer", "position", "state"])
 
-    return df.select(id_column, column).mapInPandas(run, "instance_id bigint, layer string, position int, state binary")
+    return df.select(F.col(id_column).cast("bigint"), F.col(column).cast("array<float>")).mapInArrow(run, "instance_id bigint, layer string, position int, state binary")
 
 
 def _listed(x: str | list[str] | tuple[str, ...] | None) -> list[str]:

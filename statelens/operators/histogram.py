@@ -2,13 +2,17 @@
 
 Counting is a hash aggregation with a partial step before the exchange on (keys, state), so
 a state that most rows share costs one row for each task.
+
+Places in state order are counted by ranges: rows are dealt out by ranges of (keys, state), a
+window runs inside a range, and what stands before a range is one number for each range and
+group. So no task holds a layer, however many distinct states a wide one has.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -31,10 +35,32 @@ def with_empty_layers(summary: DataFrame, layers: DataFrame) -> DataFrame:
     return out.withColumn("state_count", F.coalesce("state_count", F.lit(0))).withColumn("n_states", F.coalesce("n_states", F.lit(0)))
 
 
+def ranked(rows: DataFrame, by: tuple[str, ...], order: list[Column], place: str, weight: Column | None = None) -> DataFrame:
+    """rows with `place`: how many rows (or how much weight) of the group stand before each in `order`, which must tell all rows of a group apart.
+
+    The ranges are as many as shuffle partitions; their sums are a row for each range and group,
+    which windows by group put in order.
+    """
+    weight = F.lit(1).cast("bigint") if weight is None else weight
+    keys = [f"__k{i}" for i in range(len(order))]
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = rows.withColumns(dict(zip(keys, order, strict=True))).withColumn("__w", weight)
+    ranged = ranged.repartitionByRange(parts, *by, *keys).withColumn("__part", F.spark_partition_id())
+    inside = Window.partitionBy(*by, "__part").orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0)
+    ranged = ranged.withColumn("__upto", F.sum("__w").over(inside))
+    sums = ranged.groupBy(*by, "__part").agg(F.sum("__w").alias("__all"))
+    earlier = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, 0)
+    sums = sums.select(*[F.col(c).alias(f"__b{i}") for i, c in enumerate(by)], F.col("__part").alias("__p"), (F.sum("__all").over(earlier) - F.col("__all")).alias("__before"))
+    same = F.col("__part") == F.col("__p")
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"__b{i}"))
+    out = ranged.join(sums, same)
+    return out.withColumn(place, (F.col("__before") + F.col("__upto") - F.col("__w")).cast("bigint")).drop(*keys, "__w", "__part", "__upto", "__before", "__p", *[f"__b{i}" for i in range(len(by))])
+
+
 def state_ids(hist: DataFrame, by: tuple[str, ...] = ("layer",), binary: bool = False) -> DataFrame:
     """hist with position: the state's place, from 0, in state order inside its group."""
-    w = Window.partitionBy(*by).orderBy(sort_key(F.col("state"), binary))
-    return hist.withColumn("position", (F.row_number().over(w) - 1).cast("bigint"))
+    return ranked(hist, by, [sort_key(F.col("state"), binary)], "position")
 
 
 def states_unique(hist: DataFrame, n_neurons: int, binary: bool = False) -> DataFrame:
@@ -49,28 +75,19 @@ def states_all(states: DataFrame, n_neurons: int, binary: bool = False) -> DataF
 
 def bin_edges(hist: DataFrame, by: tuple[str, ...] = ("layer",), binary: bool = False) -> DataFrame:
     """(by..., bin, edge): running sums of the counts in state order, with a leading 0."""
-    w = Window.partitionBy(*by).orderBy(sort_key(F.col("state"), binary))
-    rows = hist.withColumn("bin", F.row_number().over(w)).withColumn("edge", F.sum("count").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    both = F.when(F.col("bin") == 1, F.array(F.struct(F.lit(0).alias("bin"), F.lit(0).cast("bigint").alias("edge")), F.struct(F.col("bin"), F.col("edge")))).otherwise(F.array(F.struct(F.col("bin"), F.col("edge"))))
-    return rows.select(*by, F.explode(both).alias("__x")).select(*by, F.col("__x.bin").cast("bigint").alias("bin"), "__x.edge")
+    pair = F.struct(F.lit(1).cast("bigint").alias("n"), F.col("count").alias("c"))
+    hist = hist.withColumn("__pair", pair)
+    order = [sort_key(F.col("state"), binary)]
+    rows = ranked(ranked(hist, by, order, "__bin"), by, order, "__edge", F.col("count"))
+    first = F.struct(F.lit(0).cast("bigint").alias("bin"), F.lit(0).cast("bigint").alias("edge"))
+    own = F.struct((F.col("__bin") + 1).alias("bin"), (F.col("__edge") + F.col("count")).alias("edge"))
+    both = F.when(F.col("__bin") == 0, F.array(first, own)).otherwise(F.array(own))
+    return rows.select(*by, F.explode(both).alias("__x")).select(*by, "__x.bin", "__x.edge")
 
 
 def sort_index(states: DataFrame, row: str, by: tuple[str, ...] = ("layer",), binary: bool = False) -> DataFrame:
-    """states with sorted_at: the row's place in state order; rows of one state are ordered by `row`.
-
-    A place is the row's rank in its bin plus the counts of the bins before, so no window spans
-    a layer: a task holds one state's rows of one bucket of row ids.
-    """
-    buckets = int(states.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    hist = counts(states, by)
-    start = Window.partitionBy(*by).orderBy(sort_key(F.col("state"), binary))
-    starts = hist.withColumn("start", F.sum("count").over(start.rowsBetween(Window.unboundedPreceding, 0)) - F.col("count")).drop("count")
-    ranged = states.where("state is not null").repartitionByRange(buckets, *by, "state", row).withColumn("__part", F.spark_partition_id())
-    sizes = ranged.groupBy(*by, "state", "__part").agg(F.count("*").alias("__n"))
-    before = sizes.withColumn("__before", F.sum("__n").over(Window.partitionBy(*by, "state").orderBy("__part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__n")).drop("__n")
-    place = F.row_number().over(Window.partitionBy(*by, "state", "__part").orderBy(row)) - 1
-    out = ranged.withColumn("__place", place).join(before, [*by, "state", "__part"]).join(starts, [*by, "state"])
-    return out.withColumn("sorted_at", (F.col("start") + F.col("__before") + F.col("__place")).cast("bigint")).drop("__part", "__place", "__before", "start")
+    """states with sorted_at: the row's place in state order; rows of one state are ordered by `row`."""
+    return ranked(states.where("state is not null"), by, [sort_key(F.col("state"), binary), F.col(row)], "sorted_at")
 
 
 def of_instances(states: DataFrame, ids: int | Iterable[int], column: str = "instance_id") -> DataFrame:

@@ -59,12 +59,23 @@ def layer_efficiency(hist: DataFrame, layers: DataFrame, alpha1: float | int = 1
     """(by..., n_neurons, state_count, n_states, entropy, efficiency) of every layer in the catalog.
 
     efficiency is H(alpha1) over H(alpha2), or over the neurons where alpha2 is None. A layer
-    without states has counts, entropy and efficiency 0. The catalog is small and joined by Spark's choice.
+    without states has counts, entropy and efficiency 0; with more columns in by (a class, an epoch), in
+    each group of them that any layer has states of. The catalog is small and joined by Spark's choice.
     """
     check_alphas(alpha1, alpha2)
+    others = [c for c in by if c != "layer"]
     cols = [F.sum("count").alias("state_count"), F.count("*").alias("n_states"), entropy_of(F.col("count"), alpha1).alias("entropy")]
     cols += [entropy_of(F.col("count"), alpha2).alias("__low")] if alpha2 is not None else []
-    got = layers.select("layer", "n_neurons").join(hist.groupBy(*by).agg(*cols), "layer", "left")
+    catalog = layers.select("layer", "n_neurons")
+    if others:  # every layer once for each group that has states at all
+        groups = hist.select(*others).distinct().select(F.struct(*others).alias("__g"))
+        catalog = groups.withColumn("__one", F.lit(1)).join(catalog.withColumn("__one", F.lit(1)), "__one").drop("__one").select("__g.*", "layer", "n_neurons")
+    got = hist.groupBy(*by).agg(*cols)
+    same = F.lit(True)
+    for c in by:  # a null label is a class like any other
+        got = got.withColumnRenamed(c, f"__h_{c}")
+        same = same & F.col(c).eqNullSafe(F.col(f"__h_{c}"))
+    got = catalog.join(got, same, "left")
     low = F.col("n_neurons").cast("double") if alpha2 is None else F.coalesce("__low", F.lit(0.0))
     zero = F.lit(0).cast("bigint")
     return got.select(*by, "n_neurons", F.coalesce("state_count", zero).alias("state_count"), F.coalesce("n_states", zero).alias("n_states"), F.coalesce("entropy", F.lit(0.0)).alias("entropy"), ratio(F.coalesce("entropy", F.lit(0.0)), low).alias("efficiency"))

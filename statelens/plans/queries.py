@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -233,18 +235,105 @@ def run_isolation(spark, d):
 
 def stream_histogram(spark, d):
     """The embeddings as a file stream, counted to the end; equal to the batch histogram."""
-    import tempfile
-    import uuid
-
+    from ..sources import HistogramStore
     from ..streaming import follow
 
-    schema = _emb(spark, d).schema
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="statelens-")
-    at, name = f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}", f"s{uuid.uuid4().hex}"
-    src = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/embeddings.parquet*")
-    query = follow(src.select(F.lit("x").alias("layer"), pack_array(F.col("embedding"), 8).alias("state")), name, at)
-    query.awaitTermination()
-    return spark.table(name).select("state", "count")
+    store = HistogramStore(spark, _work(spark))
+    src = spark.readStream.schema(_emb(spark, d).schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/embeddings.parquet*")
+    follow(src.select(F.lit("x").alias("layer"), pack_array(F.col("embedding"), 8).alias("state")), store, "r", _work(spark)).awaitTermination()
+    return store.read("r").select("state", "count")
+
+
+def _work(spark: SparkSession) -> str:
+    """A new folder that driver and executors share; only a local session may do without spark.checkpoint.dir."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        shared = tempfile.mkdtemp(prefix="statelens-")
+    return f"{shared.rstrip('/')}/engine-{uuid.uuid4().hex}"
+
+
+def store_batch_and_stream(spark, d):
+    """Batch, stream and batch again into one store; a part of the rows each time, and all of them read back raw."""
+    from ..sources import StateStore
+    from ..streaming import to_store
+
+    store, at = StateStore(spark, _work(spark)), _work(spark)
+    states = lambda x: x.select("vec_id", F.col("vec_id").alias("instance_id"), F.lit("x").alias("layer"), pack_array(F.col("embedding"), 16).alias("state"))
+    part = lambda x, k: states(x).where(F.pmod("vec_id", F.lit(3)) == k).drop("vec_id")
+    src = spark.readStream.schema(_emb(spark, d).schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/embeddings.parquet*")
+    store.create(part(_emb(spark, d), 0), "r")
+    to_store(part(src, 1), store, "r", at).awaitTermination()
+    store.append(part(_emb(spark, d), 2), "r")
+    return store.read("r").select("layer", "instance_id", "state")
+
+
+def store_reset(spark, d):
+    """A layer of a run is reset and written anew, another layer stays."""
+    from ..sources import StateStore
+
+    store, s = StateStore(spark, _work(spark)), _layers(spark, d, ("vec_id",)).withColumnRenamed("vec_id", "instance_id")
+    store.create(s.where("layer <> 'l2'"), "r")
+    store.reset("r", ["l0"])
+    store.append(s.where("layer = 'l0' and instance_id % 2 = 0"), "r")
+    return histogram.state_count(histogram.counts(store.read("r")))
+
+
+def cached_histogram(spark, d):
+    """Counted once into a table by halves, then read by two metrics."""
+    from ..sources import HistogramStore
+
+    store = HistogramStore(spark, _work(spark))
+    s = _layers(spark, d, ("vec_id",))
+    for k in (0, 1):
+        store.add(histogram.counts(s.where(F.pmod("vec_id", F.lit(2)) == k)), "r", f"half-{k}")
+    store.compact("r", "all")
+    hist = store.read("r")
+    return metrics.entropy(hist, (1, 2)).select("layer", "alpha", _r("entropy").alias("entropy"))
+
+
+def capture_by_catalog(spark, d):
+    """Only layers that the catalog captures."""
+    on = spark.createDataFrame([("l0", True), ("l1", False), ("l2", True)], "layer string, capture_on boolean")
+    return histogram.state_count(histogram.counts(capture.capture_enabled(_layers(spark, d), on)))
+
+
+def raw_states(spark, d):
+    """Every observation, unpacked from its key."""
+    x = histogram.states_all(_one(spark, d, 16), 16)
+    return x.select("vec_id", F.array_join(F.transform("neurons", lambda b: F.when(b, "1").otherwise("0")), "").alias("bits"))
+
+
+def unique_states(spark, d):
+    """Every distinct state, unpacked, with its count."""
+    x = histogram.states_unique(histogram.counts(_one(spark, d, 8)), 8)
+    return x.select(F.array_join(F.transform("neurons", lambda b: F.when(b, "1").otherwise("0")), "").alias("bits"), "count")
+
+
+def _wide(spark, d, times: int) -> DataFrame:
+    """Embeddings repeated, each time with its values moved by one place: times * 64 neurons."""
+    e = F.col("embedding")
+    parts = [F.concat(F.slice(e, k % 64 + 1, 64), F.slice(e, 1, k % 64)) for k in range(times)]
+    return _emb(spark, d).select("vec_id", F.concat(*parts).alias("a"))
+
+
+def wide_states_1024(spark, d):
+    """1,024 neurons, packed in Arrow batches."""
+    x = _wide(spark, d, 16)
+    return x.select("vec_id", F.hex(pack_state(x, "a", 1024)).alias("state"))
+
+
+def wide_roundtrip_1024(spark, d):
+    x = _wide(spark, d, 16)
+    k = x.select("vec_id", pack_state(x, "a", 1024).alias("k"))
+    return k.select("vec_id", F.array_join(F.transform(unpack_state(F.col("k"), 1024, True), lambda b: F.when(b, "1").otherwise("0")), "").alias("bits"))
+
+
+def spatial_states_wide(spark, d):
+    """128 channels at 8 positions, channels first."""
+    x = _wide(spark, d, 16)
+    return capture.capture_states(x, 128, 8, 1, "a", ("vec_id",)).select("vec_id", "position", F.hex("state").alias("state"))
 
 
 def wide_pack_efficiency(spark, d):
@@ -291,7 +380,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "probe_points": probe_points, "probe_points_fed": probe_points_fed, "per_class_histogram": per_class_histogram, "per_class_efficiency": per_class_efficiency,
         "class_compare": class_compare, "weighted_mean": weighted_mean, "argmax_accuracy": argmax_accuracy, "early_stop": early_stop, "dual_stop": dual_stop,
         "epoch_series": epoch_series, "run_isolation": run_isolation, "stream_histogram": stream_histogram, "wide_pack_efficiency": wide_pack_efficiency,
-        "network_capture": network_capture, "bench_lineitem_states": bench_lineitem_states,
+        "network_capture": network_capture, "bench_lineitem_states": bench_lineitem_states, "store_batch_and_stream": store_batch_and_stream, "store_reset": store_reset,
+        "cached_histogram": cached_histogram, "capture_by_catalog": capture_by_catalog, "raw_states": raw_states, "unique_states": unique_states,
+        "wide_states_1024": wide_states_1024, "wide_roundtrip_1024": wide_roundtrip_1024, "spatial_states_wide": spatial_states_wide,
     }
 
 
@@ -355,6 +446,19 @@ z{tag} as (select min(case when streak >= {p} then e end) as stop_epoch, case wh
         "network_capture": f"with n as (select {hidden} from embeddings), s as (select 'hidden' as layer, " + " + ".join(f"(h{j} > 0)::int * {1 << j}" for j in range(6)) + " as k from n union all select 'out', " + " + ".join(f"(h{j} > h{j + 3})::int * {1 << j}" for j in range(3)) + " from n) select layer, printf('%02X', k) as state, count(*) as count from s group by layer, k",
         "bench_lineitem_states": "with s as (select l_returnflag as layer, (l_quantity - 25.0 > 0)::int + 2 * (l_discount - 0.05::double > 0)::int + 4 * (l_tax - 0.04::double > 0)::int + 8 * (l_extendedprice - 30000.0 > 0)::int as k from lineitem), h as (select layer, k, count(*) as c from s group by layer, k) select layer, sum(c)::bigint as state_count, count(*) as n_states, " + f"{shannon} as h1, {renyi(2)} as h2, round((log2(sum(c)) - sum(c * log2(c)) / sum(c)) / 4, 6) + 0.0::double as efficiency from h group by layer",
     }
+    wide = "w as (select vec_id, flatten([list_concat(embedding[k % 64 + 1:], embedding[1:k % 64]) for k in range(0, 16)]) as a from embeddings)"
+    bits = lambda at, n: f"array_to_string([printf('%02X', cast(list_sum([case when {on(f'a[{at}]')} then 1 << j else 0 end for j in range(0, 8)]) as int)) for b in range(0, {n // 8})], '')"
+    out |= {
+        "store_batch_and_stream": f"select 'x' as layer, vec_id as instance_id, {key(0, 16)} as state from embeddings",
+        "store_reset": f"with {st} select layer, count(*) as state_count, count(distinct state) as n_states from st where layer = 'l1' or layer = 'l0' and vec_id % 2 = 0 group by layer",
+        "cached_histogram": f"with {h} select layer, 1.0::double as alpha, {shannon} as entropy from h group by layer union all select layer, 2.0::double, {renyi(2)} from h group by layer",
+        "capture_by_catalog": f"with {st} select layer, count(*) as state_count, count(distinct state) as n_states from st where layer <> 'l1' group by layer",
+        "raw_states": f"select vec_id, array_to_string([case when {on('x')} then '1' else '0' end for x in embedding[1:16]], '') as bits from embeddings",
+        "unique_states": f"select array_to_string([case when {on('x')} then '1' else '0' end for x in embedding[1:8]], '') as bits, count(*) as count from embeddings group by 1",
+        "wide_states_1024": f"with {wide} select vec_id, {bits('b * 8 + j + 1', 1024)} as state from w",
+        "wide_roundtrip_1024": f"with {wide} select vec_id, array_to_string([case when {on('x')} then '1' else '0' end for x in a], '') as bits from w",
+        "spatial_states_wide": f"with {wide} select vec_id, p::int as position, {bits('(b * 8 + j) * 8 + p + 1', 128)} as state from w, (select unnest(range(0, 8)) as p) x",
+    }
     out["unpack_roundtrip"], out["stream_histogram"] = out["quantize"], out["histogram"]
     for name, a in (("entropy_alpha0", "0"), ("entropy_alpha_half", "0.5::double"), ("entropy_alpha2", "2")):
         out[name] = f"with {h} select layer, {renyi(a)} as entropy from h group by layer"

@@ -1,6 +1,6 @@
 """Tables and the state store."""
 
-from .store import StateStore
+from .store import HistogramStore, StateStore
 from .tables import table
 
-__all__ = ["StateStore", "table"]
+__all__ = ["HistogramStore", "StateStore", "table"]

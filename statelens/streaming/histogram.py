@@ -1,7 +1,9 @@
 """The state of a stream is its histogram: it grows with the distinct states, not with the rows.
 
-Entropy doesn't add up over batches, so the histogram is kept and the metrics come from it at
-each trigger. There is no event time here; a run (an epoch, a phase) is a key of the groups.
+Entropy doesn't add up over batches, but counts do: each micro-batch's counts are a table of the
+run's histogram, written under the batch's number, so a batch that is done again is kept once.
+Nothing of it is in the driver or in a state store. There is no event time here; a run (an
+epoch, a phase) is a key of the groups.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from ..operators.histogram import counts
 from ..operators.metrics import layer_efficiency
-from ..sources.store import StateStore
+from ..sources.store import HistogramStore, StateStore
 
 
 def stream_histogram(states: DataFrame, by: tuple[str, ...] = ("layer",)) -> DataFrame:
@@ -21,23 +23,26 @@ def stream_histogram(states: DataFrame, by: tuple[str, ...] = ("layer",)) -> Dat
     return counts(states, by)
 
 
-def follow(states: DataFrame, name: str, checkpoint: str, by: tuple[str, ...] = ("layer",)) -> StreamingQuery:
-    """A query that has all available input counted in the in-memory table `name`."""
-    return stream_histogram(states, by).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def _each(states: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
+    return states.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def stream_metrics(states: DataFrame, layers: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
-    """At each trigger sink gets every layer's efficiency over all states so far, and the batch's number."""
+def follow(states: DataFrame, store: HistogramStore, run_id: str, checkpoint: str) -> StreamingQuery:
+    """A query that adds all available input (layer, state) to the run's histogram."""
+    return _each(states, lambda rows, batch: store.add(counts(rows), run_id, f"stream-{batch}"), checkpoint)
 
-    def each(hist: DataFrame, batch: int) -> None:
-        sink(layer_efficiency(hist, layers), batch)
 
-    return stream_histogram(states).writeStream.outputMode("complete").foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def stream_metrics(states: DataFrame, layers: DataFrame, store: HistogramStore, run_id: str, sink: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
+    """follow(); at each trigger sink gets every layer's efficiency over all states so far, and the batch's number."""
 
+    def each(rows: DataFrame, batch: int) -> None:
+        store.add(counts(rows), run_id, f"stream-{batch}")
+        sink(layer_efficiency(store.read(run_id), layers), batch)
 
-def to_store(states: DataFrame, store: StateStore, run_id: str, checkpoint: str) -> StreamingQuery:
-    """Append a stream of states to the store as Parquet; Spark's file sink keeps each batch exactly once."""
-    from pyspark.sql import functions as F
+    return _each(states, each, checkpoint)
 
-    rows = states.drop("run_id").withColumn("run_id", F.lit(run_id)).select("run_id", "layer", "instance_id", "position", "state")
-    return rows.writeStream.outputMode("append").format("parquet").partitionBy("run_id", "layer").option("path", store.path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+def to_store(states: DataFrame, store: StateStore, run_id: str, checkpoint: str, name: str = "stream") -> StreamingQuery:
+    """Append a stream of states to a store that batches, and streams of other names, may share: a micro-batch is a batch of the
+    store under its number, so each is kept exactly once."""
+    return _each(states, lambda rows, batch: store.append(rows, run_id, f"{name}-{batch}"), checkpoint)

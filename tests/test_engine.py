@@ -9,7 +9,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 from statelens.functions import pack
 from statelens.operators import capture, histogram, metrics, training
-from statelens.sources import StateStore
+from statelens.sources import HistogramStore, StateStore
 
 
 def arrays(spark, x, kind="float"):
@@ -107,6 +107,45 @@ def test_efficiency_rules(spark):
         metrics.network_efficiency_of((1.0,))
 
 
+def test_empty_layers_of_every_class(spark):
+    h = spark.createDataFrame([(1, "a", 0, 2), (1, "a", 1, 2), (None, "b", 0, 3)], "label int, layer string, state long, count long")
+    cat = spark.createDataFrame([("a", 4), ("b", 2), ("silent", 2)], "layer string, n_neurons int")
+    got = {(r["label"], r["layer"]): (r["state_count"], r["entropy"], r["efficiency"]) for r in metrics.layer_efficiency(h, cat, by=("label", "layer")).collect()}
+    assert got == {(1, "a"): (4, 1.0, 0.25), (1, "b"): (0, 0.0, 0.0), (1, "silent"): (0, 0.0, 0.0), (None, "a"): (0, 0.0, 0.0), (None, "b"): (3, 0.0, 0.0), (None, "silent"): (0, 0.0, 0.0)}
+
+
+def test_a_network_run_leaves_null_rows_out(spark):
+    df = arrays(spark, [[1.0, -1.0], None, [None, 2.0]]).union(spark.createDataFrame([(None, [1.0, 1.0])], "id long, a array<float>"))
+    got = capture.run_network(df, lambda x: {"l": x, "two": np.stack([x, -x], axis=1)}, "a", "id").collect()
+    assert sorted((r["instance_id"] or 9, r["layer"], r["position"], bytes(r["state"])[0]) for r in got) == [(2, "l", 0, 2), (2, "two", 0, 2), (2, "two", 1, 0), (9, "l", 0, 1), (9, "l", 0, 3), (9, "two", 0, 1), (9, "two", 0, 3), (9, "two", 1, 0), (9, "two", 1, 2)]
+    assert capture.run_network(df.limit(0), lambda x: {"l": x}, "a", "id").collect() == []
+
+
+def test_places_need_no_window_over_a_layer(spark):
+    from pyspark.sql.window import Window  # noqa: F401
+
+    rnd = random.Random(4)
+    rows = [(k, rnd.choice(["x", "y", None]), bytes([rnd.randrange(256), rnd.randrange(3)])) for k in range(500)]
+    s = spark.createDataFrame(rows, "instance_id long, layer string, state binary")
+    got = {r["instance_id"]: r["sorted_at"] for r in histogram.sort_index(s, "instance_id", binary=True).collect()}
+    for layer in ("x", "y", None):
+        own = sorted((r for r in rows if r[1] == layer), key=lambda r: (r[2][::-1], r[0]))
+        assert [got[r[0]] for r in own] == list(range(len(own)))
+    plan = histogram.state_ids(histogram.counts(s), binary=True)._jdf.queryExecution().optimizedPlan().toString()
+    assert "[layer#" in plan and all("__part" in line for line in plan.splitlines() if "Window" in line)
+
+
+def test_catalog(spark):
+    cat = capture.register_model([("c", "Conv2d", 4, [1, 4, 2, 2]), ("f", "Linear", 2, [1, 2])], "m", spark)
+    assert [(r["layer"], r["ordinal"], r["capture_on"]) for r in cat.orderBy("ordinal").collect()] == [("c", 0, True), ("f", 1, True)]
+    off = cat.withColumn("capture_on", F.col("layer") == "f")
+    x = spark.createDataFrame([(1, "c"), (2, "f"), (3, "other"), (4, None)], "instance_id long, layer string")
+    assert [r["instance_id"] for r in capture.capture_enabled(x, off).collect()] == [2]
+    for bad in ([("c", "C", 1, [1]), ("c", "C", 1, [1])], [("c", "C", 0, [1])]):
+        with pytest.raises(ValueError):
+            capture.register_model(bad, "m", spark)
+
+
 def test_aiq(spark):
     assert spark.range(1).select(metrics.aiq(F.lit(0.25), F.lit(1.0))).first()[0] == 0.5
     for w in (0, -1, 1.5, True):
@@ -190,22 +229,41 @@ def test_store_and_streaming(spark, tmp_path):
         s = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(src).withColumnRenamed("id", "instance_id").withColumn("layer", F.lit("l"))
         return capture.capture_states(s, 4, column="a", keep=("instance_id", "layer"))
 
-    follow(stream(), "followed", str(tmp_path / "c1")).awaitTermination()
+    hists = HistogramStore(spark, str(tmp_path / "hists"))
+    with pytest.raises(FileNotFoundError):
+        hists.read("f")
+    follow(stream(), hists, "f", str(tmp_path / "c1")).awaitTermination()
     want = {r["state"]: r["count"] for r in histogram.counts(states).collect()}
-    assert {r["state"]: r["count"] for r in spark.table("followed").collect()} == want
+    got = lambda run: {r["state"]: r["count"] for r in hists.read(run).collect()}
+    assert got("f") == want
+    hists.compact("f", "whole")
+    hists.add(histogram.counts(states), "f", "whole")  # the same batch again replaces it
+    assert got("f") == want
     seen = []
     cat = spark.createDataFrame([("l", 4)], "layer string, n_neurons int")
-    stream_metrics(stream(), cat, lambda m, b: seen.append(m.first()["state_count"]), str(tmp_path / "c2")).awaitTermination()
+    stream_metrics(stream(), cat, hists, "m", lambda m, b: seen.append(m.first()["state_count"]), str(tmp_path / "c2")).awaitTermination()
     assert seen[-1] == 60 and seen == sorted(seen)
     sink = StateStore(spark, str(tmp_path / "sunk"))
     to_store(stream(), sink, "r", str(tmp_path / "c3")).awaitTermination()
     assert {r["state"]: r["count"] for r in histogram.counts(sink.read("r")).collect()} == want
+    # batch, stream and batch in one store; the stream started anew writes the same batches again
+    shared = StateStore(spark, str(tmp_path / "shared"))
+    shared.append(states.limit(10), "r")
+    to_store(stream(), shared, "r", str(tmp_path / "c4")).awaitTermination()
+    assert shared.read("r").count() == 70
+    shared.append(states.limit(10), "r")
+    to_store(stream(), shared, "r", str(tmp_path / "c5")).awaitTermination()
+    assert shared.read("r").count() == 80 and shared.read("r").columns == ["run_id", "layer", "instance_id", "position", "state"]
+    shared.reset("r", ["l"])
+    assert shared.read("r").count() == 0
 
 
 def test_sql_functions(spark):
     pack.register(spark)
     r = spark.sql("select hex(pack_state(array(0f, 1f, 1f, 1f, 1f))) as k, unpack_state(unhex('1E'), 5) as b").first()
     assert r["k"] == "1E" and r["b"] == [False, True, True, True, True]
+    df = spark.createDataFrame([([1.0] * 9,), (None,), ([-1.0, 1.0],), ([],), ([1.0] * 9,)], "a array<float>").coalesce(1)
+    assert [x[0] and x[0].hex() for x in df.selectExpr("pack_state(a)").collect()] == ["ff01", None, "02", b"", "ff01"]
 
 
 def test_queries_equal_their_sql(spark, sf):
