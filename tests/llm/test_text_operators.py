@@ -186,6 +186,46 @@ def test_patterns_place_every_piece_once(hist):
     assert dict(used) == hist
 
 
+@given(st.dictionaries(st.integers(1, 64), st.integers(1, 40), max_size=20))
+@settings(max_examples=80, deadline=None)
+def test_patterns_equal_packing_piece_by_piece(hist):
+    """One piece after the other, longest first, each in the open pack with the most room before its length's turn."""
+    packs = []
+    for length in sorted(hist, reverse=True):
+        roomy = [p for p in sorted(packs, key=sum) if sum(p) + length <= 64]
+        for k in range(hist[length]):
+            if k < len(roomy):
+                roomy[k].append(length)
+            elif k > len(roomy) and sum(packs[-1]) + length <= 64:
+                packs[-1].append(length)
+            else:
+                packs.append([length])
+    assert Counter(sum(p) for p in packs) == sum((Counter({sum(p): n}) for p, n in packing.patterns(hist, 64)), Counter())
+
+
+def test_quality_fit_minimises_the_pairwise_loss():
+    """The Newton steps end where plain gradient descent on the same pairs does, and the cut is the others' share of the raw scores."""
+    rnd = np.random.default_rng(6)
+    x = rnd.standard_normal((300, len(quality.FEATURES)))
+    x[:, 0] = np.log(1 + rnd.integers(20, 200, 300))
+    y = (x[:, 2] + rnd.standard_normal(300) > 0.3).astype(int)
+    m = quality.learn(x, y, pairs=2000)
+    z = (x - x.mean(axis=0)) / x.std(axis=0) * (np.expm1(x[:, 0]) / (np.expm1(x[:, 0]) + quality.SHRINK))[:, None]
+    pick = np.random.default_rng(7)
+    good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
+    diff = z[pick.choice(good, 2000)] - z[pick.choice(bad, 2000)]
+    loss = lambda w: np.log1p(np.exp(-(diff @ w))).mean() + 5e-4 * w @ w
+    w = np.zeros(z.shape[1])
+    for _ in range(4000):
+        w -= 0.5 * (-(diff * (1 / (1 + np.exp(diff @ w)))[:, None]).mean(axis=0) + 1e-3 * w)
+    assert abs(loss(w) - loss(m.weights)) < 1e-5 and np.abs(w - m.weights).max() < 0.02
+    assert m.cut == pytest.approx(np.quantile(z @ m.weights, (y == 0).mean()))
+    # a pair's order by the scores is the order that the loss asks for, more often than not in either kind
+    s = m.score(x)
+    auc = np.mean([(s[a] > s[b]) + 0.5 * (s[a] == s[b]) for a in good for b in bad])
+    assert auc > 0.7
+
+
 @pytest.mark.parametrize("sep", [" ", ", ", "\n"])
 def test_licenses(spark, sep):
     few = sep.join("permission is hereby granted free of charge to any person obtaining a copy of this software".split())
