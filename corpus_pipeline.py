@@ -32,7 +32,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Contaminated documents go; from the others every benchmark passage is cut."""
+    """Contaminated documents go; from the others every benchmark passage is cut, again until none is left."""
     return decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
@@ -43,7 +43,7 @@ def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language_id", language), ("line_dedup", lines), ("simhash_near_dedup", near_copies), ("decontamination", benchmark), ("packing", sequences)]
 
-#: Language models, fingerprint groups and tokens aren't SQL; the tests hold each stage against brute force.
+#: Language models, fingerprint groups and tokens aren't SQL; tests/llm/test_pipeline.py holds each stage against one written row by row.
 ORACLE_SQL = None
 
 
