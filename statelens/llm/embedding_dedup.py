@@ -291,7 +291,7 @@ def _pairs(threshold: float):
     """For each node of a group of far nodes and others: how many vectors its links of the group stand for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, starts in sorted_groups(batches, ["component", "lb", "rb"], 1 << 13):
+        for t, starts in sorted_groups(batches, ["component", "band", "lb", "rb"], 1 << 13):
             node, n, left, near, col = longs(t["node"]), longs(t["n"]), longs(t["is_left"]) > 0, longs(t["is_near"]) > 0, t["e"].combine_chunks()
             out, mass = [], []
             for a, b in zip(starts.tolist(), [*starts.tolist()[1:], len(node)], strict=True):
@@ -310,23 +310,29 @@ def _count_links(linked: DataFrame, threshold: float, block: int = BLOCK) -> Dat
 
     Nodes within half the threshold's angle of the component's first node are all linked with
     each other, by the triangle inequality: no pair of them is compared, so a large group of
-    near copies costs its rows. Every other node is compared with all of its component, in
-    pairs of blocks.
+    near copies costs its rows. Every other node is compared, in pairs of blocks, with the nodes
+    whose angle to the first node differs by the threshold's angle at most: by the same inequality no
+    other can be linked with it, so a drawn-out component costs its bands of angles and not its square.
     """
-    half = acos(threshold) / 2 - 1e-6
+    half, width = acos(threshold) / 2 - 1e-6, acos(threshold) + 1e-6
     kind = linked.schema["e"].dataType.simpleString()
     pivots = linked.where("node = component").groupBy("component").agg(F.first("e").alias("pivot"))
     x = linked.join(save(pivots, "pivots"), "component").select("component", "node", "n", "e", "pivot")
     x = save(in_arrow(x, _angles, f"component long, node long, n long, e {kind}, angle double"), "angles")
-    near = F.col("angle") <= half
-    sums = save(x.groupBy("component").agg(F.sum(F.when(near, F.col("n"))).alias("near_mass"), F.count(F.when(~near, 1)).alias("far"), F.count("*").alias("all")), "sums")
-    y = x.join(sums, "component").withColumn("is_near", near.cast("long"))
-    base = y.where(near).select("node", F.col("near_mass").alias("mass"))
-    y = y.where("far > 0").withColumn("lbs", F.ceil(F.col("far") / block).cast("long")).withColumn("rbs", F.ceil(F.col("all") / block).cast("long"))
-    one, salt = F.lit(1).cast("long"), F.xxhash64("node")
-    left = y.where(~near).select("component", F.pmod(salt, F.col("lbs")).alias("lb"), F.explode(F.sequence(one - 1, F.col("rbs") - 1)).alias("rb"), "node", "n", one.alias("is_left"), "is_near", "e")
-    right = y.select("component", F.explode(F.sequence(one - 1, F.col("lbs") - 1)).alias("lb"), F.pmod(salt, F.col("rbs")).alias("rb"), "node", "n", (one - 1).alias("is_left"), "is_near", "e")
-    by = ["component", "lb", "rb"]
+    one, near = F.lit(1).cast("long"), F.col("angle") <= half
+    x = x.withColumn("is_near", near.cast("long")).withColumn("band", F.floor(F.col("angle") / width).cast("long"))
+    around = F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band")
+    sums = save(x.groupBy("component", "band").agg(F.sum(F.when(near, F.col("n"))).alias("near_mass"), F.count(F.when(~near, 1)).alias("far"), F.count("*").alias("all")), "sums")
+    partners = sums.select("component", around, "all").groupBy("component", "band").agg(F.sum("all").alias("all"))
+    cells = sums.where("far > 0").select("component", "band", F.ceil(F.col("far") / block).cast("long").alias("lbs")).join(partners, ["component", "band"])
+    cells = save(cells.select("component", "band", "lbs", F.ceil(F.col("all") / block).cast("long").alias("rbs")), "cells")
+    base = x.where(near).join(sums.groupBy("component").agg(F.sum("near_mass").alias("mass")), "component").select("node", "mass")
+    salt = F.xxhash64("node")
+    left = x.where(~near).join(cells, ["component", "band"])
+    left = left.select("component", "band", F.pmod(salt, F.col("lbs")).alias("lb"), F.explode(F.sequence(one - 1, F.col("rbs") - 1)).alias("rb"), "node", "n", one.alias("is_left"), "is_near", "e")
+    right = x.select("component", around, "node", "n", "is_near", "e").join(cells, ["component", "band"])
+    right = right.select("component", "band", F.explode(F.sequence(one - 1, F.col("lbs") - 1)).alias("lb"), F.pmod(salt, F.col("rbs")).alias("rb"), "node", "n", (one - 1).alias("is_left"), "is_near", "e")
+    by = ["component", "band", "lb", "rb"]
     pairs = in_arrow(left.unionByName(right).repartition(*by).sortWithinPartitions(*by), _pairs(threshold), "node long, mass long")
     return base.unionByName(pairs).groupBy("node").agg(F.sum("mass").alias("mass"))
 

@@ -55,6 +55,22 @@ def test_links_are_counted_in_blocks(spark):
     assert got == {i: n for i, (n, _) in brute(rows).items()}
 
 
+def test_links_of_a_drawn_out_component_are_counted_by_bands(spark):
+    """A chain over 3 radians, denser at one end, beside a ball: nodes of all bands, near and far ones."""
+    rnd = np.random.default_rng(4)
+    q = np.linalg.qr(rnd.standard_normal((8, 2)))[0].T
+    angles = np.sort(np.concatenate([np.arange(0, 3, 0.04), rnd.uniform(2, 3, 40)]))
+    rows = [(k, 0, (np.cos(a) * q[0] + np.sin(a) * q[1] + 0.02 * rnd.standard_normal(8)).tolist()) for k, a in enumerate(angles)]
+    v = rnd.standard_normal(8)
+    rows += [(500 + k, 500, (v / np.linalg.norm(v) + 0.1 * rnd.standard_normal(8)).tolist()) for k in range(30)]
+    df = spark.createDataFrame([(c, i, 1, e) for i, c, e in rows], "component long, node long, n long, e array<double>")
+    got = {r["node"]: r["mass"] - 1 for r in embedding_dedup._count_links(df, 0.95, 8).collect()}
+    want = {}
+    for c in (0, 500):
+        want |= {i: n for i, (n, _) in brute([(i, e) for i, k, e in rows if k == c]).items()}
+    assert got == want
+
+
 def test_audit_sees_lost_small_groups_beside_a_large_one(spark):
     """A third of the rows is one found group; of 100 pairs none was found, which hardly shows in a sum of links."""
     rnd = np.random.default_rng(5)
