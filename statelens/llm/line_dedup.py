@@ -14,6 +14,8 @@ BLANKS = " \t\n\x0b\x0c\r"
 #: While runs are read: a scan of bucket files, one to a bucket, gives its rows in the order they were written in,
 #: and a union of runs keeps their buckets, so that the merged run again has one file to a bucket.
 SETTINGS = {"spark.sql.legacy.bucketedTableScan.outputOrdering": "true", "spark.sql.sources.bucketing.autoBucketedScan.enabled": "false"}
+#: While a run is written: a batch's partitions stay those of the buckets, so that its union with runs keeps them too.
+COALESCE = "spark.sql.adaptive.coalescePartitions.enabled"
 
 
 def lines_of(text: Column) -> Column:
@@ -25,18 +27,18 @@ def line_key(line: Column) -> Column:
 
 
 class Runs:
-    """Sorted runs on levels: a level that holds `fanout` runs is merged into one run of the next.
+    """Sorted runs on levels: a level that would hold `fanout` runs becomes one run of the next.
 
-    A run is a table bucketed and sorted by hash, (h1, h2, holder), one file for each bucket: joins read
-    it without an exchange and without a sort, and writing the merged run again moves no row
-    between buckets' files. Used in a with statement: at its end the runs' tables go, and
-    SETTINGS are what they were before.
+    A run is a table bucketed and sorted by hash, (h1, h2, holder, shared, is_new, batch), one file for
+    each bucket: joins read it without an exchange and without a sort, and merging runs moves no row
+    between buckets' files. A batch that fills levels is written once only, in the run that they
+    become. Used in a with statement: at its end the runs' tables and files go, and SETTINGS are
+    what they were before.
     """
 
     def __init__(self, spark, fanout: int):
         self.spark, self.fanout, self.buckets = spark, fanout, shuffle_parts(spark)
         self.levels: list[list[tuple[str, str]]] = [[]]
-        self.batches: list[str] = []
 
     def __enter__(self):
         self.before = {k: self.spark.conf.get(k) for k in SETTINGS}
@@ -47,46 +49,45 @@ class Runs:
     def __exit__(self, *failure) -> None:
         for k, v in self.before.items():
             self.spark.conf.set(k, v)
-        for at, level in enumerate(self.levels):
-            for n, p in level:
-                self.spark.sql(f"DROP TABLE IF EXISTS {n}")
-                if at:
-                    delete(self.spark, p)
-
-    def forget(self) -> None:
-        """Delete the batches' own files, which tell which lines go."""
-        for p in self.batches:
+        for level in self.levels:
+            self._drop(level)
+
+    def _drop(self, runs: list[tuple[str, str]]) -> None:
+        for n, p in runs:
+            self.spark.sql(f"DROP TABLE IF EXISTS {n}")
             delete(self.spark, p)
 
     def _write(self, df: DataFrame) -> tuple[str, str]:
         name, path = f"line_run_{uuid.uuid4().hex}", new_path(self.spark, "run")
-        (df.repartition(self.buckets, "h1", "h2").write.format("parquet").bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("path", path).saveAsTable(name))
+        before = self.spark.conf.get(COALESCE)
+        self.spark.conf.set(COALESCE, "false")
+        try:
+            (df.repartition(self.buckets, "h1", "h2").write.format("parquet").bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("path", path).saveAsTable(name))
+        finally:
+            self.spark.conf.set(COALESCE, before)
         return name, path
 
     def all(self) -> list[DataFrame]:
         return [self.spark.table(name).where("is_new").select("h1", "h2", F.col("holder").alias("held")) for level in self.levels for name, _ in level]
 
-    def add(self, batch: DataFrame) -> DataFrame:
-        """Write a batch's keys as a run of level 0, then compact full levels."""
-        name, path = self._write(batch)
-        out = self.spark.read.schema(batch.schema).parquet(path)
-        self.levels[0].append((name, path))
-        self.batches.append(path)
-        for at, level in enumerate(self.levels):
-            if len(level) >= self.fanout:
-                merged = None
-                for n, _ in level:
-                    x = self.spark.table(n).where("is_new")
-                    merged = x if merged is None else merged.unionByName(x)
-                if at + 1 == len(self.levels):
-                    self.levels.append([])
-                self.levels[at + 1].append(self._write(merged))
-                for n, p in level:
-                    self.spark.sql(f"DROP TABLE IF EXISTS {n}")
-                    if at:  # a batch's own table still tells which lines go
-                        delete(self.spark, p)
-                self.levels[at] = []
-        return out
+    def shared(self) -> list[DataFrame]:
+        """The keys that the batches so far share, in themselves or with an earlier one; read as plain files."""
+        return [self.spark.read.schema(self.spark.table(name).schema).parquet(path).where("shared") for level in self.levels for name, path in level]
+
+    def add(self, batch: DataFrame) -> None:
+        """Write a batch's keys as a run of level 0, or with the runs of the levels that it fills."""
+        full = 0
+        while full < len(self.levels) and len(self.levels[full]) + 1 >= self.fanout:
+            full += 1
+        old = [run for level in self.levels[:full] for run in level]
+        for name, _ in old:
+            batch = batch.unionByName(self.spark.table(name))
+        new = self._write(batch)
+        self.levels[:full] = [[] for _ in range(full)]
+        if full == len(self.levels):
+            self.levels.append([])
+        self.levels[full].append(new)
+        self._drop(old)
 
 
 def dropped_lines(docs: DataFrame, min_chars: int = 10, batches: int = 4, fanout: int = 2) -> DataFrame:
@@ -95,7 +96,9 @@ def dropped_lines(docs: DataFrame, min_chars: int = 10, batches: int = 4, fanout
     Documents come in `batches` ranges of ascending doc_id. Each batch's distinct keys
     (128 bits of two XXH64; partial sums absorb a line that a third of all documents hold) are
     merge-anti-joined to the runs so far: keys found there belong to an earlier document, the
-    rest form a new sorted run. A key's holder is then the smallest doc_id in the whole table.
+    rest are new. Its keys join the sorted runs, but for the last batch's, which no other reads.
+    A key's holder is then the smallest doc_id in the whole table. Each table written has at most one
+    file for each partition: files cost time, memory and, on a local disk, processes.
     """
     spark = docs.sparkSession
     cuts = docs.select(F.col("doc_id").cast("long").alias("doc_id")).approxQuantile("doc_id", [k / batches for k in range(1, batches)], 0.01) if batches > 1 else []
@@ -104,22 +107,23 @@ def dropped_lines(docs: DataFrame, min_chars: int = 10, batches: int = 4, fanout
         part = part + (F.col("doc_id") > F.lit(c)).cast("int")
     line = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tid"), F.posexplode(lines_of(F.col("text"))).alias("pos", "line"))
     key = line.select("doc_id", "tid", "pos", line_key(F.col("line")).alias("key")).where(F.char_length("key") >= min_chars)
-    lines = save(key.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"), "doc_id", "tid", "pos", part.alias("batch")), "lines", "batch")
-    shared = None
+    lines = save(key.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"), "doc_id", "tid", "pos", part.alias("batch")), "lines")
     with Runs(spark, fanout) as runs:
         for b in range(len(set(cuts)) + 1):
+            if b:
+                runs.add(own)
             own = lines.where(F.col("batch") == b).groupBy("h1", "h2").agg(F.min("doc_id").alias("holder"), F.max("doc_id").alias("last"))
             held = F.lit(None).cast("long")
             for k, run in enumerate(runs.all()):
                 own = own.join(run.withColumnRenamed("held", f"held{k}"), ["h1", "h2"], "left")
                 held = F.coalesce(held, F.col(f"held{k}"))
-            own = own.select("h1", "h2", F.coalesce(held, "holder").alias("holder"), (held.isNotNull() | (F.col("last") > F.col("holder"))).alias("shared"), held.isNull().alias("is_new"))
-            got = runs.add(own).where("shared").select("h1", "h2", "holder", F.lit(b).alias("batch"))
-            shared = got if shared is None else shared.unionByName(got)
-    found = lines.join(shared, ["batch", "h1", "h2"]).where("doc_id > holder")
-    drops = save(found.groupBy("doc_id", "tid").agg(F.collect_set("pos").alias("drops")), "drops")
+            own = own.select("h1", "h2", F.coalesce(held, "holder").alias("holder"), (held.isNotNull() | (F.col("last") > F.col("holder"))).alias("shared"), held.isNull().alias("is_new"), F.lit(b).alias("batch"))
+        shared = own.where("shared")
+        for run in runs.shared():
+            shared = shared.unionByName(run)
+        found = lines.join(shared.select("batch", "h1", "h2", "holder"), ["batch", "h1", "h2"]).where("doc_id > holder")
+        drops = save(found.groupBy("doc_id", "tid").agg(F.collect_set("pos").alias("drops")), "drops")
     forget(lines)
-    runs.forget()
     return drops
 
 

@@ -192,5 +192,26 @@ def test_line_dedup_equals_brute_force(spark, batches, fanout):
     assert sorted(found, key=repr) == slow_lines(docs)
 
 
+@pytest.mark.parametrize("batches,fanout,runs", [(4, 2, 3), (9, 2, 8)])
+def test_line_dedup_writes_few_files(spark, monkeypatch, batches, fanout, runs):
+    """One table of lines, a run for each batch but the last, one of what goes: each with a file for each partition at most."""
+    from pathlib import Path
+
+    made = []
+    for name in ("delete", "forget"):
+        monkeypatch.setattr(line_dedup, name, lambda *a: None)
+    for name in ("new_path", "save"):
+        f = getattr(line_dedup, name)
+        monkeypatch.setattr(line_dedup, name, lambda *a, f=f, **b: made.append(f(*a, **b)) or made[-1])
+    rnd = random.Random(9)
+    docs = [(k, "\n".join(f"line number {rnd.randrange(400)}" for _ in range(9))) for k in range(200)]
+    got = line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string").repartition(4), batches=batches, fanout=fanout)
+    found = [(r["doc_id"], r["n_lines"], r["n_dropped"], hashlib.sha256(r["kept_text"].encode()).hexdigest()) for r in got.collect()]
+    assert sorted(found, key=repr) == slow_lines(docs)
+    files = [len(list(Path(x if isinstance(x, str) else x.saved_at).rglob("*.parquet"))) for x in made]
+    assert len(files) == runs + 2 and max(files) <= 4
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("line_run")]
+
+
 def test_line_dedup_of_nothing(spark):
     assert line_dedup.dedup_lines(spark.createDataFrame([], "doc_id long, text string")).collect() == []
