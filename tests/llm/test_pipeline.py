@@ -24,6 +24,20 @@ def test_stages_hand_over_the_columns_of_documents(spark, sf):
     assert seen[4].where("n_chars <> char_length(text)").count() == 0
 
 
+def test_line_stage_writes_lines_once(spark, sf, monkeypatch):
+    """One file of lines for each partition of documents, where each file costs processes on a local disk."""
+    made = {}
+
+    def save(df, label, *a, f=line_dedup.save, **b):
+        made[label] = len((out := f(df, label, *a, **b)).inputFiles())
+        return out
+
+    monkeypatch.setattr(line_dedup, "save", save)
+    docs = table(spark, sf, "documents").repartition(4)
+    corpus_pipeline.lines(spark, docs, sf)
+    assert 0 < made["lines"] <= 4
+
+
 def by_hand(docs, bench):
     """All stages but the last, row by row: {doc_id: text} after each."""
     from test_components_simhash import brute, slow_fingerprint
