@@ -5,7 +5,9 @@ a state that most rows share costs one row for each task.
 
 Places in state order are counted by ranges: rows are dealt out by ranges of (keys, state), a
 window runs inside a range, and what stands before a range is one number for each range and
-group. So no task holds a layer, however many distinct states a wide one has.
+group. So no task holds a layer, however many distinct states a wide one has. Spark draws the
+ranges' bounds from a sample, another one each time a plan runs: rows and numbers have to come
+from one dealing.
 """
 
 from __future__ import annotations
@@ -35,17 +37,27 @@ def with_empty_layers(summary: DataFrame, layers: DataFrame) -> DataFrame:
     return out.withColumn("state_count", F.coalesce("state_count", F.lit(0))).withColumn("n_states", F.coalesce("n_states", F.lit(0)))
 
 
+def dealt_once(df: DataFrame) -> DataFrame:
+    """df as a scan of its own rows. Its plan is run here up to its last exchange, and whatever reads the frame reads that exchange's output.
+
+    The output's files go when nothing refers to the frame any more; lost ones are made again with the same bounds.
+    """
+    spark, jdf = df.sparkSession, df._jdf
+    jdf.toLocalIterator()  # reads no row, but runs the exchange as a query that Spark's UI and event log show
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(jdf.queryExecution().toRdd(), jdf.schema(), False), spark)
+
+
 def ranked(rows: DataFrame, by: tuple[str, ...], order: list[Column], place: str, weight: Column | None = None) -> DataFrame:
     """rows with `place`: how many rows (or how much weight) of the group stand before each in `order`, which must tell all rows of a group apart.
 
     The ranges are as many as shuffle partitions; their sums are a row for each range and group,
-    which windows by group put in order.
+    which windows by group put in order. Rows are dealt out when this is called.
     """
     weight = F.lit(1).cast("bigint") if weight is None else weight
     keys = [f"__k{i}" for i in range(len(order))]
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = rows.withColumns(dict(zip(keys, order, strict=True))).withColumn("__w", weight)
-    ranged = ranged.repartitionByRange(parts, *by, *keys).withColumn("__part", F.spark_partition_id())
+    ranged = dealt_once(ranged.repartitionByRange(parts, *by, *keys).withColumn("__part", F.spark_partition_id()))
     inside = Window.partitionBy(*by, "__part").orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0)
     ranged = ranged.withColumn("__upto", F.sum("__w").over(inside))
     sums = ranged.groupBy(*by, "__part").agg(F.sum("__w").alias("__all"))

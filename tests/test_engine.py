@@ -135,6 +135,13 @@ def test_places_need_no_window_over_a_layer(spark):
     assert "[layer#" in plan and all("__part" in line for line in plan.splitlines() if "Window" in line)
 
 
+def test_sort_index_of_more_rows_than_a_sample_holds(spark):
+    s = spark.range(0, 30000, 1, 4).select(F.col("id").alias("instance_id"), F.lit("x").alias("layer"), (F.col("id") * 7919 % 256).alias("state"))
+    got = histogram.sort_index(s, "instance_id").orderBy("sorted_at").collect()
+    assert [r["sorted_at"] for r in got] == list(range(30000))
+    assert [r["instance_id"] for r in got] == sorted(range(30000), key=lambda i: (i * 7919 % 256, i))
+
+
 def test_catalog(spark):
     cat = capture.register_model([("c", "Conv2d", 4, [1, 4, 2, 2]), ("f", "Linear", 2, [1, 2])], "m", spark)
     assert [(r["layer"], r["ordinal"], r["capture_on"]) for r in cat.orderBy("ordinal").collect()] == [("c", 0, True), ("f", 1, True)]
