@@ -142,6 +142,14 @@ def test_sort_index_of_more_rows_than_a_sample_holds(spark):
     assert [r["instance_id"] for r in got] == sorted(range(30000), key=lambda i: (i * 7919 % 256, i))
 
 
+def test_wide_states_ids_of_more_states_than_a_sample_holds(spark):
+    s = spark.range(0, 30000, 1, 4).select(F.lit("x").alias("layer"), F.unhex(F.substring(F.sha2((F.col("id") % 20000).cast("string"), 256), 1, 20)).alias("state"))
+    got = histogram.state_ids(histogram.counts(s), binary=True).orderBy("position").collect()
+    assert [r["position"] for r in got] == list(range(20000)) and sum(r["count"] for r in got) == 30000
+    keys = [bytes(r["state"])[::-1] for r in got]
+    assert keys == sorted(keys)
+
+
 def test_catalog(spark):
     cat = capture.register_model([("c", "Conv2d", 4, [1, 4, 2, 2]), ("f", "Linear", 2, [1, 2])], "m", spark)
     assert [(r["layer"], r["ordinal"], r["capture_on"]) for r in cat.orderBy("ordinal").collect()] == [("c", 0, True), ("f", 1, True)]
