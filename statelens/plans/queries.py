@@ -347,8 +347,15 @@ def network_capture(spark, d):
     """A seeded two-layer network run in the workers; its states are packed where it ran."""
     w = np.sign(np.sin(np.arange(64 * 6)).reshape(64, 6))
 
+    def rounded(x: np.ndarray, digits: int) -> np.ndarray:
+        """Halves go away from zero, as in SQL; numpy's own rounding takes them to an even digit."""
+        y = x * 10.0**digits
+        whole = np.trunc(y)
+        return (whole + np.copysign(np.abs(y - whole) >= 0.5, y)) / 10.0**digits
+
     def forward(x: np.ndarray) -> dict[str, np.ndarray]:
-        h = np.round(np.round(x.astype(np.float64), 3) @ w, 2)
+        # added up from the first value to the last, as in SQL: what a sum of doubles is, and so which sums are halves, depends on the order
+        h = rounded(sum(v[:, None] * to for v, to in zip(rounded(x.astype(np.float64), 3).T, w, strict=True)), 2)
         return {"hidden": h, "out": h[:, :3] - h[:, 3:]}
 
     x = capture.run_network(_emb(spark, d), forward, "embedding", "vec_id")

@@ -297,6 +297,20 @@ def test_queries_equal_their_sql(spark, sf):
         assert text(df.select(*cols).collect()) == text(con.execute(f"select {', '.join(cols)} from ({sql[name]})").fetchall()), name
 
 
+def test_network_capture_rounds_halves_as_its_sql(spark, tmp_path):
+    import duckdb
+    from statelens.plans.queries import oracle_sql, queries
+
+    # values that are halves of a thousandth, and sums that are halves of a hundredth
+    x = np.random.default_rng(6).choice([0.0625, -0.0625, 0.1875, 0.3125, 0.005, -0.005, 0.015, 0.01, -0.02], (2000, 64)).astype(np.float32)
+    x[1000:, 9:] = 0
+    spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>").coalesce(2).write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = con.execute(f"select layer, state, count from ({oracle_sql()['network_capture']})").fetchall()
+    assert sorted(map(tuple, queries()["network_capture"](spark, str(tmp_path)).collect())) == sorted(want)
+
+
 def test_counting_needs_one_exchange(spark, sf):
     from statelens.plans.queries import queries
 
