@@ -98,8 +98,8 @@ def bin_edges(hist: DataFrame, by: tuple[str, ...] = ("layer",), binary: bool =
 
 
 def sort_index(states: DataFrame, row: str, by: tuple[str, ...] = ("layer",), binary: bool = False) -> DataFrame:
-    """states with sorted_at: the row's place in state order; rows of one state are ordered by `row`."""
-    return ranked(states.where("state is not null"), by, [sort_key(F.col("state"), binary), F.col(row)], "sorted_at")
+    """states with sorted_at: the row's place in state order; rows of one state are ordered by `row`, nulls last."""
+    return ranked(states.where("state is not null"), by, [sort_key(F.col("state"), binary), F.col(row).isNull(), F.col(row)], "sorted_at")
 
 
 def of_instances(states: DataFrame, ids: int | Iterable[int], column: str = "instance_id") -> DataFrame:

@@ -142,6 +142,12 @@ def test_sort_index_of_more_rows_than_a_sample_holds(spark):
     assert [r["instance_id"] for r in got] == sorted(range(30000), key=lambda i: (i * 7919 % 256, i))
 
 
+def test_sort_index_of_null_ids(spark):
+    s = spark.createDataFrame([(None, "x", 1), (5, "x", 1), (2, "x", 1), (7, "x", 0), (None, "x", 0)], "instance_id long, layer string, state long")
+    got = histogram.sort_index(s, "instance_id").orderBy("sorted_at").collect()
+    assert [(r["state"], r["instance_id"]) for r in got] == [(0, 7), (0, None), (1, 2), (1, 5), (1, None)]
+
+
 def test_wide_states_ids_of_more_states_than_a_sample_holds(spark):
     s = spark.range(0, 30000, 1, 4).select(F.lit("x").alias("layer"), F.unhex(F.substring(F.sha2((F.col("id") % 20000).cast("string"), 256), 1, 20)).alias("state"))
     got = histogram.state_ids(histogram.counts(s), binary=True).orderBy("position").collect()
